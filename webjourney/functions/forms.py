@@ -77,7 +77,7 @@ def is_real_form(payload: Column) -> Column:
     named = F.exists(keys, lambda k: F.lower(k).isin(*MEANINGFUL_FORM_KEYS)
                      | F.lower(k).contains("email") | F.lower(k).contains("name")
                      | F.lower(k).contains("company"))
-    filled = F.coalesce(F.get_json_object(payload, "$.filled_fields").cast("double"), F.lit(0.0)) >= 1
+    filled = F.coalesce(F.get_json_object(payload, "$.filled_fields").try_cast("double"), F.lit(0.0)) >= 1
     ok = (
         payload.startswith("{") & (F.size(keys) > 0) & ~noise & ~search & ~only_events
         & ~object_events & ~blob & ~all_tokens & (named | filled)
@@ -122,6 +122,6 @@ def render_values(payload: Column) -> Column:
 def filled_fields(payload: Column) -> Column:
     """Declared number of filled fields, else the number of values."""
     return F.coalesce(
-        F.get_json_object(payload, "$.filled_fields").cast("int"),
+        F.get_json_object(payload, "$.filled_fields").try_cast("int"),
         F.when(values_object(payload).isNull(), F.lit(0)).otherwise(F.size(values_map(payload))),
     )

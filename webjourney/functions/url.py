@@ -32,7 +32,7 @@ def host(url: Column) -> Column:
 
 
 def port(url: Column) -> Column:
-    return blank_to_null(F.regexp_extract(authority(url), r":(\d+)$", 1)).cast("int")
+    return blank_to_null(F.regexp_extract(authority(url), r":(\d+)$", 1)).try_cast("int")
 
 
 def path(url: Column) -> Column:
@@ -71,7 +71,11 @@ def query_map(url: Column) -> Column:
 def first_param(url: Column, *names: str) -> Column:
     """First value of the first parameter among ``names`` that is present."""
     pairs = query_pairs(url)
-    return F.coalesce(*[F.get(F.filter(pairs, lambda e, n=n: e["k"] == n), F.lit(0))["v"] for n in names])
+
+    def first(name: str) -> Column:
+        return F.get(F.filter(pairs, lambda e: e["k"] == name), F.lit(0))["v"]
+
+    return F.when(url.contains("?"), F.coalesce(*[first(n) for n in names]))
 
 
 def render_params(
