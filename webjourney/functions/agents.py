@@ -13,77 +13,58 @@ from webjourney.config import (
 )
 
 
-def _hit(ua: Column, low: Column, pattern: str) -> Column:
+def _hit(ua: str, pattern: str) -> str:
     # Plain names need no regex engine; a custom pattern may be a real regex.
     if re.fullmatch(r"[\w\- ]+", pattern):
-        return low.contains(pattern.lower())
-    return ua.rlike("(?i)" + pattern)
+        return f"contains(lower({ua}), '{pattern.lower()}')"
+    return f"{ua} rlike r'(?i){pattern}'"
 
 
-def _any(low: Column, tokens: Sequence[str]) -> Column:
-    hit = F.lit(False)
-    for t in tokens:
-        hit = hit | low.contains(t)
-    return hit
+def _any(ua: str, tokens: Sequence[str]) -> str:
+    return "(" + " OR ".join(f"contains(lower({ua}), '{t}')" for t in tokens) + ")"
 
 
-def _rule(ua: Column, patterns: Sequence[Crawler]) -> tuple[Column, list[tuple]]:
-    """Number of the first rule that matches, and the outcome of every rule."""
-    low = F.lower(ua)
+def crawler_sql(ua: str = "user_agent", patterns: Sequence[Crawler] = CRAWLERS) -> dict[str, str]:
+    """SQL text of the classification fields of a user agent.
+
+    One CASE finds the number of the first rule that matches; the fields are array lookups by
+    that number, so everything stays in one generated stage without a shuffle.
+    """
     outcomes = [(False, None, 0.0, "unknown", None)]
-    rule = F.when(ua.isNull() | (ua == ""), F.lit(1))
-    for c in patterns:
-        outcomes.append((True, c.name, c.confidence, "pattern_match", c.company))
-        rule = rule.when(_hit(ua, low, c.pattern), F.lit(len(outcomes)))
-    browsers = sum((low.contains(t).cast("int") for t in BROWSER_TOKENS[1:]),
-                   low.contains(BROWSER_TOKENS[0]).cast("int"))
-    for cond, outcome in (
-        (_any(low, GENERIC_BOT_TOKENS), (True, "Unknown Bot", 0.60, "general_pattern", None)),
-        (_any(low, TOOL_TOKENS), (True, "Suspicious Bot", 0.50, "suspicious_pattern", None)),
-        (F.length(ua) < 10, (True, "Empty User Agent", 0.40, "empty_user_agent", None)),
-        (browsers >= 2, (False, None, 0.80, "browser_pattern", None)),
-    ):
+    cases = [f"WHEN {ua} IS NULL OR {ua} = '' THEN 1"]
+    browsers = " + ".join(f"int(contains(lower({ua}), '{t}'))" for t in BROWSER_TOKENS)
+    rules = [(_hit(ua, c.pattern), (True, c.name, c.confidence, "pattern_match", c.company)) for c in patterns]
+    rules += [
+        (_any(ua, GENERIC_BOT_TOKENS), (True, "Unknown Bot", 0.60, "general_pattern", None)),
+        (_any(ua, TOOL_TOKENS), (True, "Suspicious Bot", 0.50, "suspicious_pattern", None)),
+        (f"length({ua}) < 10", (True, "Empty User Agent", 0.40, "empty_user_agent", None)),
+        (f"{browsers} >= 2", (False, None, 0.80, "browser_pattern", None)),
+    ]
+    for cond, outcome in rules:
         outcomes.append(outcome)
-        rule = rule.when(cond, F.lit(len(outcomes)))
+        cases.append(f"WHEN {cond} THEN {len(outcomes)}")
     outcomes.append((False, None, 0.30, "unknown", None))
-    return rule.otherwise(F.lit(len(outcomes))), outcomes
+    rule = f"CASE {' '.join(cases)} ELSE {len(outcomes)} END"
+
+    def text(v) -> str:
+        return "NULL" if v is None else "'" + v.replace("'", "\\'") + "'"
+
+    kinds = (
+        ("is_crawler", lambda v: str(v).lower()), ("crawler_name", text),
+        ("confidence", lambda v: f"double({v})"), ("detection_method", text), ("company", text))
+    return {
+        name: f"element_at(array({', '.join(show(o[i]) for o in outcomes)}), {rule})"
+        for i, (name, show) in enumerate(kinds)
+    }
 
 
 def classify(
     df: DataFrame, ua: str = "user_agent", patterns: Sequence[Crawler] = CRAWLERS
 ) -> DataFrame:
-    """Add is_crawler, crawler_name, confidence, detection_method, company and is_ai_crawler.
-
-    The rule chain is evaluated once per row; the outcome fields are array lookups by rule
-    number, so the whole thing stays in one generated stage without a shuffle.
-    """
-    rule, outcomes = _rule(F.col(ua), patterns)
-    fields = list(zip(*outcomes))
-
-    def pick(values, kind: str) -> Column:
-        return F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("_rule"))
-
-    return (
-        df.withColumn("_rule", rule)
-        .withColumn("is_crawler", pick(fields[0], "boolean"))
-        .withColumn("crawler_name", pick(fields[1], "string"))
-        .withColumn("confidence", pick(fields[2], "double"))
-        .withColumn("detection_method", pick(fields[3], "string"))
-        .withColumn("company", pick(fields[4], "string"))
-        .withColumn("is_ai_crawler", F.col("is_crawler") & (F.col("confidence") > 0.7))
-        .drop("_rule")
-    )
-
-
-def crawler_fields(ua: Column, patterns: Sequence[Crawler] = CRAWLERS) -> tuple[Column, Column, Column]:
-    """(name, confidence, is_crawler) as plain expressions."""
-    rule, outcomes = _rule(ua, patterns)
-    fields = list(zip(*outcomes))
-
-    def pick(values, kind: str) -> Column:
-        return F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), rule)
-
-    return pick(fields[1], "string"), pick(fields[2], "double"), pick(fields[0], "boolean")
+    """Add is_crawler, crawler_name, confidence, detection_method, company and is_ai_crawler."""
+    return df.selectExpr(
+        "*", *[f"{e} AS {n}" for n, e in crawler_sql(ua, patterns).items()]
+    ).withColumn("is_ai_crawler", F.expr("is_crawler AND confidence > 0.7"))
 
 
 def visitor_category(ua: Column) -> Column:

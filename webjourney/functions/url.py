@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webjourney.config import NOISE_HOST_TOKENS, NOISE_PATH_TOKENS, TWO_PART_SUFFIXES
 from webjourney.functions.text import blank_to_null
 
 _SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.\-]*):"
-_AUTHORITY = r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//([^/?#]*)"
+AUTHORITY_REGEX = r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//([^/?#]*)"
 _PATH = r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
 _QUERY = r"^[^?#]*\?([^#]*)"
 
@@ -22,7 +22,7 @@ def scheme(url: Column) -> Column:
 
 def authority(url: Column) -> Column:
     """Host with port and user info, '' when the URL names no host."""
-    return F.regexp_extract(url, _AUTHORITY, 1)
+    return F.regexp_extract(url, AUTHORITY_REGEX, 1)
 
 
 def host(url: Column) -> Column:
@@ -44,73 +44,81 @@ def query(url: Column) -> Column:
     return F.regexp_extract(url, _QUERY, 1)
 
 
-def _decode(c: Column) -> Column:
-    plus = F.replace(c, F.lit("+"), F.lit(" "))
-    return F.when(c.contains("%") | c.contains("+"), F.coalesce(F.try_url_decode(c), plus)).otherwise(c)
+def _decode(text: str) -> str:
+    plus = f"replace({text}, '+', ' ')"
+    return f"coalesce(try_url_decode({text}), {plus})"
 
 
-def query_pairs(url: Column) -> Column:
-    """``array<struct<k,v>>`` of the query in URL order: decoded, blank values dropped."""
-    parts = F.filter(F.split(query(url), "&"), lambda p: p.rlike("(?s)^[^=]*=."))
-    return F.transform(parts, lambda p: F.struct(
-        _decode(F.substring_index(p, "=", 1)).alias("k"),
-        _decode(F.regexp_replace(p, r"(?s)^[^=]*=", "")).alias("v"),
-    ))
+def query_pairs_sql(url: str) -> str:
+    """SQL text: ``array<struct<k,v>>`` of the query in URL order, decoded, blank values dropped."""
+    query = f"regexp_extract({url}, r'{_QUERY}', 1)"
+    return (
+        f"transform(filter(split({query}, '&'), p -> p rlike r'(?s)^[^=]*=.'), p -> named_struct("
+        f"'k', {_decode("substring_index(p, '=', 1)")}, "
+        f"'v', {_decode("substring(p, instr(p, '=') + 1)")}))")
 
 
-def query_map(url: Column) -> Column:
-    """``map<string, array<string>>`` of the query."""
-    pairs = query_pairs(url)
-    keys = F.array_distinct(F.transform(pairs, lambda e: e["k"]))
-    return F.map_from_entries(F.transform(keys, lambda k: F.struct(
-        k.alias("key"),
-        F.transform(F.filter(pairs, lambda e: e["k"] == k), lambda e: e["v"]).alias("value"),
-    )))
+def query_map(url: str) -> Column:
+    """``map<string, array<string>>`` of the query; ``url`` is a column name or SQL text."""
+    pairs = query_pairs_sql(url)
+    return F.expr(
+        f"map_from_entries(transform(array_distinct(transform({pairs}, e -> e.k)), n -> named_struct("
+        f"'key', n, 'value', transform(filter({pairs}, e -> e.k = n), e -> e.v))))")
 
 
-def first_param(url: Column, *names: str) -> Column:
-    """First value of the first parameter among ``names`` that is present."""
-    pairs = query_pairs(url)
+def _first_param_sql(url: str, name: str) -> str:
+    # Without escapes the query needs no split: first non-blank value of the name.
+    plain = f"regexp_extract({url}, r'^[^?#]*\?(?:[^#]*?&)?{name}=([^&#]+)', 1)"
+    split = f"get(filter({query_pairs_sql(url)}, e -> e.k = '{name}'), 0).v"
+    return f"if(contains({url}, '%'), {split}, nullif(replace({plain}, '+', ' '), ''))"
+
 
-    def first(name: str) -> Column:
-        return F.get(F.filter(pairs, lambda e: e["k"] == name), F.lit(0))["v"]
+def first_param_sql(url: str, *names: str) -> str:
+    firsts = ", ".join(_first_param_sql(url, n) for n in names)
+    return f"CASE WHEN contains({url}, '?') THEN coalesce({firsts}) END"
 
-    return F.when(url.contains("?"), F.coalesce(*[first(n) for n in names]))
+
+def first_param(url: str, *names: str) -> Column:
+    """First value of the first parameter among ``names`` that is present."""
+    return F.expr(first_param_sql(url, *names))
 
 
 def render_params(
-    url: Column, keep: Sequence[str] | None = None, drop: Sequence[str] = (), sep: str = " | "
+    url: str, keep: Sequence[str] | None = None, drop: Sequence[str] = (), sep: str = " | "
 ) -> Column:
     """``key: first value`` list of the chosen parameters, NULL when none is left.
 
     With ``keep`` the keys come by length and then by bytes, as in a binary JSON object;
     otherwise they keep their URL order.
     """
-    m = query_map(url)
-    entries = F.map_entries(m)
+    pairs = query_pairs_sql(url)
     if keep is not None:
-        entries = F.filter(entries, lambda e: e["key"].isin(*keep))
-        entries = F.transform(
-            F.array_sort(F.transform(entries, lambda e: F.struct(
-                F.length(e["key"]).alias("n"), e["key"].alias("key"), e["value"].alias("value")))),
-            lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
-    if drop:
-        entries = F.filter(entries, lambda e: ~e["key"].isin(*drop))
-    texts = F.transform(entries, lambda e: F.concat(e["key"], F.lit(": "), F.get(e["value"], F.lit(0))))
-    return F.when(F.size(texts) > 0, F.array_join(texts, sep))
-
-
-def utm_source(url: Column, referrer: Column) -> Column:
-    tagged = first_param(url, "utm_source", "source", "ref")
-    return F.when(tagged.isNotNull(), tagged).when(referrer != "", authority(referrer))
-
-
-def utm_medium(url: Column) -> Column:
-    return first_param(url, "utm_medium")
-
-
-def utm_campaign(url: Column) -> Column:
-    return first_param(url, "utm_campaign", "campaign")
+        ordered = sorted(keep, key=lambda k: (len(k), k))
+        texts = ", ".join(
+            f"'{k}: ' || get(filter({pairs}, e -> e.k = '{k}'), 0).v" for k in ordered)
+        text = f"concat_ws('{sep}', {texts})"
+    else:
+        names = ", ".join(f"'{d}'" for d in drop) or "''"
+        keys = f"filter(array_distinct(transform({pairs}, e -> e.k)), n -> n NOT IN ({names}))"
+        text = (f"array_join(transform({keys}, n -> n || ': ' || "
+                f"get(filter({pairs}, e -> e.k = n), 0).v), '{sep}')")
+    return F.expr(f"CASE WHEN contains({url}, '?') THEN nullif({text}, '') END")
+
+
+def utm_sql(url: str, referrer: str) -> dict[str, str]:
+    """SQL text of source, medium and campaign; an untagged URL takes the referrer's host."""
+    tagged = first_param_sql(url, "utm_source", "source", "ref")
+    host = f"CASE WHEN {referrer} <> '' THEN regexp_extract({referrer}, r'{AUTHORITY_REGEX}', 1) END"
+    return {
+        "source": f"coalesce({tagged}, {host})",
+        "medium": first_param_sql(url, "utm_medium"),
+        "campaign": first_param_sql(url, "utm_campaign", "campaign"),
+    }
+
+
+def with_attribution(df: DataFrame, url: str = "page_url", referrer: str = "referrer") -> DataFrame:
+    """Add source, medium and campaign."""
+    return df.selectExpr("*", *[f"{e} AS {n}" for n, e in utm_sql(url, referrer).items()])
 
 
 def referrer_domain(referrer: Column) -> Column:

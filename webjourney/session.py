@@ -14,6 +14,9 @@ def get_spark(master: str | None = None, app: str = "webjourney", **conf: str) -
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+        # Recording a call site for every column operation doubles the time to build a plan.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     for k, v in settings.items():

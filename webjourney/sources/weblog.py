@@ -7,10 +7,10 @@ the views scan, prune and partition like the table itself.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webjourney.functions import agents, url
+from webjourney.config import CLIENT_SIDE_FIELDS
 
 AS_OF = "2024-01-31 00:00:00"
 FAMILIES = {"siteone": ("siteone.example",), "sitetwo": ("sitetwo.example",)}
@@ -39,6 +39,15 @@ REFERRERS = (
     None, None, None, "https://www.google.com/search?q=x", "https://www.siteone.example/pricing",
     "https://docs.sitetwo.example:443/", "https://news.example.org/a", "https://www.siteone.example/",
 )
+# What ingest stored for these agents and referrers (the classification and attribution
+# operators compute the same, see the crawler_classify and utm queries).
+CRAWLERS = (None,) * 6 + (
+    "GPTBot", "ClaudeBot", "GoogleBot", "Suspicious Bot", "Unknown Bot", "Empty User Agent")
+CONFIDENCES = (0.8,) * 6 + (0.95, 0.95, 0.8, 0.5, 0.6, 0.4)
+REFERRER_HOSTS = (
+    None, None, None, "www.google.com", "www.siteone.example", "docs.sitetwo.example:443",
+    "news.example.org", "www.siteone.example",
+)
 PLACES = (
     (None, None), ("XX", "Unknown"), ("US", "Boston"), ("GB", "London"), ("DE", "Berlin"),
     ("FR", None), ("IN", "Pune"), ("XX", "Unknown"), (None, None),
@@ -52,182 +61,134 @@ TIMEZONES = (None, "Europe/London", "America/New_York")
 LANGUAGES = ("en-US", None)
 
 
-def _pick(values, index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), index.cast("int") + 1)
-
-
-def _form_payload(e: Column, u: Column) -> Column:
-    us, c = u.cast("string"), F.concat
-    forms = (
-        c(F.lit('{"form_values":{"email":"u'), us, F.lit('@corp.example","name":"User '), us,
-          F.lit('"},"filled_fields":2,"id":"f1","action":"/submit"}')),
-        c(F.lit('{"values":{"work_email":"u'), us, F.lit('@gmail.com","company":"C'),
-          (u % 5).cast("string"), F.lit('"}}')),
-        F.lit('{"timingsV2":1,"memory.totalJSHeapSize":2}'),
-        F.lit('{"form_values":{"query":"pricing","page_size":"10"}}'),
-        F.lit('{"form_values":{},"filled_fields":3}'),
-        F.lit('{"form_values":{"data":"eyJhbGciOi"}}'),
-        F.lit('{"form_values":{"field_a":"1"},"filled_fields":1}'),
-        F.lit(None).cast("string"),
-        c(F.lit('{"form_values":{"full_name":"N '), us, F.lit('","message":"hi"},"filled_fields":2}')),
-    )
-    out = F.when(e % 9 == 0, forms[0])
-    for i, f in enumerate(forms[1:], 1):
-        out = out.when(e % 9 == i, f)
-    return out
+def _pick(values, index: str) -> str:
+    """SQL text: the list element at a zero-based index."""
+    def show(v) -> str:
+        return "NULL" if v is None else "r'" + v + "'"
 
+    return f"element_at(array({', '.join(map(show, values))}), int({index}) + 1)"
 
-def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of the events table with the columns shared by all views."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
-    e, u, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
-    ip = F.when(u % 60 == 0, "10.0.0.5").when(u % 60 == 1, "127.0.0.1").otherwise(
-        F.concat(F.lit("81.2.69."), (u % 60).cast("string")))
-    query = (
-        F.when(e % 7 == 3, "?utm_source=google&utm_medium=cpc&utm_campaign=spring")
-        .when(e % 7 == 4, "?ref=partner")
-        .when(e % 7 == 5, F.concat(F.lit("?email=u"), u.cast("string"),
-                                   F.lit("%40corp.example&name=User+"), u.cast("string")))
-        .otherwise("")
-    )
-    base = raw.select(
-        e.alias("id"), F.col("ts").cast("timestamp").alias("timestamp"), u.alias("_u"),
-        kind.alias("_kind"), F.col("value"), F.col("props"),
-        F.when(u % 10 != 9, F.concat(F.lit("c"), u.cast("string"))).alias("client_id"),
-        ip.alias("ip_address"), _pick(USER_AGENTS, u % 12).alias("user_agent"),
-        _pick(PATHS, (7 * e + 3 * u) % 12).alias("path"),
-        _pick(DOMAINS, (e + u) % 3).alias("page_domain"), query.alias("_query"),
-        _pick(REFERRERS, (11 * e + 5 * u) % 8).alias("referrer"),
-        _pick(TRACKING_IDS, e % 3).alias("tracking_id"),
-        _pick(TIMEZONES, e % 3).alias("client_side_timezone"),
-        _pick(LANGUAGES, e % 2).alias("client_side_language"),
-        *[F.lit(None).cast("string").alias(c) for c in (
-            "client_side_screen_resolution", "client_side_viewport_size",
-            "client_side_device_memory", "client_side_connection_type")],
-    )
-    page = F.concat(F.lit("https://"), F.col("page_domain"), F.col("path"), F.col("_query"))
-    return base.select(
-        "*", page.alias("page_url"),
-        F.md5(F.concat(F.col("ip_address"), F.lit("|"), F.col("user_agent"))).alias("session_id"),
-    )
 
+# Form payloads by event number modulo 9, as SQL text over the visitor number.
+_FORM_PAYLOADS = (
+    """'{"form_values":{"email":"u' || _u || '@corp.example","name":"User ' || _u || '"},"filled_fields":2,"id":"f1","action":"/submit"}'""",
+    """'{"values":{"work_email":"u' || _u || '@gmail.com","company":"C' || _u % 5 || '"}}'""",
+    """'{"timingsV2":1,"memory.totalJSHeapSize":2}'""",
+    """'{"form_values":{"query":"pricing","page_size":"10"}}'""",
+    """'{"form_values":{},"filled_fields":3}'""",
+    """'{"form_values":{"data":"eyJhbGciOi"}}'""",
+    """'{"form_values":{"field_a":"1"},"filled_fields":1}'""",
+    "NULL",
+    """'{"form_values":{"full_name":"N ' || _u || '","message":"hi"},"filled_fields":2}'""",
+)
 
-def _with_attribution(df: DataFrame) -> DataFrame:
-    page, ref = F.col("page_url"), F.col("referrer")
+
+def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of the events table with the columns shared by all views."""
     return (
-        df.withColumn("source", url.utm_source(page, ref))
-        .withColumn("medium", url.utm_medium(page))
-        .withColumn("campaign", url.utm_campaign(page))
+        spark.read.parquet(f"{sf_dir}/events.parquet")
+        .selectExpr(
+            "event_id AS id", "timestamp(ts) AS timestamp", "user_id AS _u", "event_type AS _kind",
+            "value", "props",
+            "CASE WHEN user_id % 10 <> 9 THEN 'c' || user_id END AS client_id",
+            "CASE user_id % 60 WHEN 0 THEN '10.0.0.5' WHEN 1 THEN '127.0.0.1' "
+            "ELSE '81.2.69.' || user_id % 60 END AS ip_address",
+            f"{_pick(USER_AGENTS, 'user_id % 12')} AS user_agent",
+            f"{_pick(PATHS, '(7 * event_id + 3 * user_id) % 12')} AS path",
+            f"{_pick(DOMAINS, '(event_id + user_id) % 3')} AS page_domain",
+            "CASE event_id % 7 WHEN 3 THEN '?utm_source=google&utm_medium=cpc&utm_campaign=spring' "
+            "WHEN 4 THEN '?ref=partner' "
+            "WHEN 5 THEN '?email=u' || user_id || '%40corp.example&name=User+' || user_id ELSE '' END AS _query",
+            f"{_pick(REFERRERS, '(11 * event_id + 5 * user_id) % 8')} AS referrer",
+            f"{_pick(REFERRER_HOSTS, '(11 * event_id + 5 * user_id) % 8')} AS referrer_domain",
+            f"CASE event_id % 7 WHEN 3 THEN 'google' WHEN 4 THEN 'partner' "
+            f"ELSE {_pick(REFERRER_HOSTS, '(11 * event_id + 5 * user_id) % 8')} END AS source",
+            "CASE WHEN event_id % 7 = 3 THEN 'cpc' END AS medium",
+            "CASE WHEN event_id % 7 = 3 THEN 'spring' END AS campaign",
+            f"{_pick(TRACKING_IDS, 'event_id % 3')} AS tracking_id",
+            f"{_pick(TIMEZONES, 'event_id % 3')} AS client_side_timezone",
+            f"{_pick(LANGUAGES, 'event_id % 2')} AS client_side_language",
+            *[f"string(NULL) AS {c}" for c in CLIENT_SIDE_FIELDS[2:]],
+        )
+        .selectExpr(
+            "*", "'https://' || page_domain || path || _query AS page_url",
+            "md5(ip_address || '|' || user_agent) AS session_id")
     )
 
 
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page hits."""
-    u = F.col("_u")
-    crawler, confidence, is_bot = agents.crawler_fields(F.col("user_agent"))
-    df = hits(spark, sf_dir).where(F.col("_kind").isin("view", "click"))
-    return (
-        _with_attribution(df)
-        .withColumn("crawler_type", crawler)
-        .withColumn("crawler_confidence", confidence)
-        .withColumn("is_bot", is_bot)
-        .withColumn("page_title", F.lit(None).cast("string"))
-        .withColumn("request_method", F.lit("GET"))
-        .withColumn("response_status", F.lit(200))
-        .withColumn("response_size", (F.col("id") % 5000).cast("int"))
-        .withColumn("response_time_ms", F.col("value"))
-        .withColumn("country", _pick([p[0] for p in PLACES], u % 9))
-        .withColumn("city", _pick([p[1] for p in PLACES], u % 9))
-        .withColumn("protocol", F.lit("https"))
-        .withColumn("port", F.lit(None).cast("int"))
-        .drop("_u", "_kind", "_query", "value", "props")
-    )
+    df = hits(spark, sf_dir).where("_kind IN ('view', 'click')")
+    return df.selectExpr(
+        "*",
+        f"{_pick(CRAWLERS, '_u % 12')} AS crawler_type",
+        f"element_at(array({', '.join(f'double({c})' for c in CONFIDENCES)}), int(_u % 12) + 1) AS crawler_confidence",
+        "_u % 12 >= 6 AS is_bot",
+        "string(NULL) AS page_title", "'GET' AS request_method", "200 AS response_status",
+        "int(id % 5000) AS response_size", "value AS response_time_ms",
+        f"{_pick([p[0] for p in PLACES], '_u % 9')} AS country",
+        f"{_pick([p[1] for p in PLACES], '_u % 9')} AS city",
+        "'https' AS protocol", "int(NULL) AS port",
+    ).drop("_u", "_kind", "_query", "value", "props", "referrer_domain")
 
 
 def visit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interactions: every row, linked to its visit when it is a page hit."""
-    e, u, kind = F.col("id"), F.col("_u"), F.col("_kind")
-    df = hits(spark, sf_dir)
-    event_type = (
-        F.when(kind == "view", "page_view").when(kind == "click", "navigation")
-        .when(kind == "signup", "form_submit")
-        .when(kind == "purchase", _pick(PURCHASE_EVENTS, e % 3))
-        .otherwise(_pick(ERROR_EVENTS, e % 3))
-    )
-    field_value = _pick(FIELD_VALUES, e % 4)
-    payload = (
-        F.when(F.col("event_type") == "form_submit", _form_payload(e, u))
-        .when(F.col("event_type") == "scroll", F.concat(
-            F.lit('{"y":'), (e % 900).cast("string"), F.lit(',"percent":'),
-            (e % 101).cast("string"), F.lit("}")))
-        .when(F.col("event_type") == "form_input", F.concat(
-            F.lit('{"field_name":"q","field_value":"'), field_value, F.lit('"}')))
-        .otherwise(F.concat(
-            F.lit('{"country":'), _pick(('"US"', '"XX"', "null", '"GB"'), e % 4),
-            F.lit(',"city":"Unknown"}')))
-    )
-    return (
-        _with_attribution(df)
-        .withColumn("event_type", event_type)
-        .withColumn("event_data", payload)
-        .withColumn("visit_id", F.when(kind.isin("view", "click"), e))
-        .withColumn("referrer_domain", url.referrer_domain(F.col("referrer")))
-        .withColumn("response_status", F.when(kind == "error", 500).otherwise(200))
-        .drop("_u", "_kind", "_query", "value", "props")
-    )
+    forms = " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(_FORM_PAYLOADS))
+    df = hits(spark, sf_dir).selectExpr(
+        "*",
+        f"""CASE _kind WHEN 'view' THEN 'page_view' WHEN 'click' THEN 'navigation'
+            WHEN 'signup' THEN 'form_submit' WHEN 'purchase' THEN {_pick(PURCHASE_EVENTS, 'id % 3')}
+            ELSE {_pick(ERROR_EVENTS, 'id % 3')} END AS event_type""")
+    countries = ('"US"', '"XX"', "null", '"GB"')
+    return df.selectExpr(
+        "*",
+        f"""CASE event_type WHEN 'form_submit' THEN CASE id % 9 {forms} END
+            WHEN 'scroll' THEN '{{"y":' || id % 900 || ',"percent":' || id % 101 || '}}'
+            WHEN 'form_input' THEN '{{"field_name":"q","field_value":"' || {_pick(FIELD_VALUES, 'id % 4')} || '"}}'
+            ELSE '{{"country":' || {_pick(countries, 'id % 4')} || ',"city":"Unknown"}}' END AS event_data""",
+        "CASE WHEN _kind IN ('view', 'click') THEN id END AS visit_id",
+        "IF(_kind = 'error', 500, 200) AS response_status",
+    ).drop("_u", "_kind", "_query", "value", "props")
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored sessions: one per address and user agent, as kept before any rebuild."""
-    df = hits(spark, sf_dir)
-    u = F.col("_u")
-    order = F.struct("timestamp", "id")
-    first = lambda c: F.min_by(c, order)
-    agg = df.groupBy("session_id").agg(
-        F.min("ip_address").alias("ip_address"), F.min("user_agent").alias("user_agent"),
-        F.min("client_id").alias("client_id"),
-        F.min("timestamp").alias("first_visit"), F.max("timestamp").alias("last_visit"),
-        F.sum(F.col("_kind").isin("view", "click").cast("int")).cast("int").alias("visit_count"),
-        first("referrer").alias("entry_referrer"),
-        F.min(_pick([p[0] for p in SESSION_PLACES], u % 4)).alias("country"),
-        F.min(_pick([p[1] for p in SESSION_PLACES], u % 4)).alias("city"),
-        F.min_by("client_side_timezone", F.when(F.col("client_side_timezone").isNotNull(), order))
-        .alias("client_side_timezone"),
-        F.min_by("client_side_language", F.when(F.col("client_side_language").isNotNull(), order))
-        .alias("client_side_language"),
-    )
-    nulls = ("country_name", "timezone", "isp", "organization", "asn",
-             "client_side_screen_resolution", "client_side_viewport_size",
-             "client_side_device_memory", "client_side_connection_type")
-    return agg.withColumnRenamed("session_id", "id").select(
-        "*", url.referrer_domain(F.col("entry_referrer")).alias("entry_referrer_domain"),
-        F.lit(True).alias("is_external_entry"),
-        *[F.lit(None).cast("string").alias(c) for c in nulls])
+    order = "struct(timestamp, id)"
+    agg = hits(spark, sf_dir).groupBy(F.col("session_id").alias("_sid")).agg(*[F.expr(e) for e in (
+        "min(ip_address) AS ip_address", "min(user_agent) AS user_agent",
+        "min(client_id) AS client_id", "min(timestamp) AS first_visit", "max(timestamp) AS last_visit",
+        "int(count_if(_kind IN ('view', 'click'))) AS visit_count",
+        f"min_by(referrer, {order}) AS entry_referrer",
+        f"min_by(referrer_domain, {order}) AS entry_referrer_domain",
+        f"min({_pick([p[0] for p in SESSION_PLACES], '_u % 4')}) AS country",
+        f"min({_pick([p[1] for p in SESSION_PLACES], '_u % 4')}) AS city",
+        *[f"min_by({c}, IF({c} IS NOT NULL, {order}, NULL)) AS {c}" for c in CLIENT_SIDE_FIELDS[:2]],
+    )])
+    nulls = ("country_name", "timezone", "isp", "organization", "asn", *CLIENT_SIDE_FIELDS[2:])
+    return agg.withColumnRenamed("_sid", "id").selectExpr(
+        "*", "true AS is_external_entry", *[f"string(NULL) AS {c}" for c in nulls])
 
 
 def ip_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Enrichment state of the public addresses seen in the log."""
-    n = F.substring_index("ip", ".", -1).cast("int")
-    ips = hits(spark, sf_dir).where(F.col("ip_address").startswith("81.2.69.")).groupBy(
-        F.col("ip_address").alias("ip")).agg(
-        F.min("timestamp").alias("first_seen_at"), F.max("timestamp").alias("last_seen_at"))
-    k = n % 5
-    status = F.when(k.isin(1, 2), "success").when(k == 3, "error").when(k == 4, "failed")
-    return ips.where(k != 0).select(
+    ips = (
+        hits(spark, sf_dir).where("ip_address LIKE '81.2.69.%'").groupBy(F.col("ip_address").alias("ip"))
+        .agg(F.min("timestamp").alias("first_seen_at"), F.max("timestamp").alias("last_seen_at"))
+        .selectExpr("*", "int(substring_index(ip, '.', -1)) AS n")
+        .selectExpr("*", "n % 5 AS k").where("k <> 0")
+    )
+    return ips.selectExpr(
         "ip",
-        F.when(k <= 2, F.concat(F.lit("corp"), n.cast("string"), F.lit(".example"))).alias("company_domain"),
-        F.when(k <= 2, F.concat(F.lit("Corp "), n.cast("string"))).alias("company_name"),
-        F.when(k <= 2, F.lit("business")).alias("company_type"),
-        F.when(k <= 2, F.lit("gb")).alias("country"),
-        *[F.when(k <= 2, F.lit(False)).alias(c) for c in ("is_datacenter", "is_vpn", "is_proxy", "is_tor")],
-        F.lit("lookup").alias("source"), F.lit("2024-01-05").cast("timestamp").alias("enriched_at"),
-        F.when(k == 1, F.lit("2024-03-01")).when(k == 2, F.lit("2024-01-10"))
-        .cast("timestamp").alias("ttl_expires_at"),
-        status.alias("status"),
-        F.when(k >= 3, F.lit("transient")).alias("error_code"),
-        F.when(k >= 3, F.lit("timeout")).alias("error_message"),
-        F.when(k == 3, F.when(n % 2 == 1, 3).otherwise(1)).when(k == 4, 3).otherwise(0).alias("attempt_count"),
+        "IF(k <= 2, 'corp' || n || '.example', NULL) AS company_domain",
+        "IF(k <= 2, 'Corp ' || n, NULL) AS company_name",
+        "IF(k <= 2, 'business', NULL) AS company_type", "IF(k <= 2, 'gb', NULL) AS country",
+        *[f"IF(k <= 2, false, NULL) AS {c}" for c in ("is_datacenter", "is_vpn", "is_proxy", "is_tor")],
+        "'lookup' AS source", "timestamp'2024-01-05' AS enriched_at",
+        "CASE k WHEN 1 THEN timestamp'2024-03-01' WHEN 2 THEN timestamp'2024-01-10' END AS ttl_expires_at",
+        "CASE WHEN k <= 2 THEN 'success' WHEN k = 3 THEN 'error' ELSE 'failed' END AS status",
+        "IF(k >= 3, 'transient', NULL) AS error_code", "IF(k >= 3, 'timeout', NULL) AS error_message",
+        "CASE k WHEN 3 THEN IF(n % 2 = 1, 3, 1) WHEN 4 THEN 3 ELSE 0 END AS attempt_count",
         "first_seen_at", "last_seen_at",
     )
 
