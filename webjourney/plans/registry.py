@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webjourney.plans.sql_views import with_views
+from webjourney.plans.sql_views import FORMS, with_views
 from webjourney.sources import weblog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,7 +62,8 @@ def query(name: str, sql: str | None = None, *ctes: str, views: bool = True):
     def wrap(fn):
         QUERIES[name] = lambda spark, sf_dir: flat(fn(Tables(spark, sf_dir)))
         if sql is not None:
-            ORACLES[name] = with_views(sql, *ctes) if views else sql.strip()
+            parts = [FORMS if c == "FORMS" else c for c in ctes]
+            ORACLES[name] = with_views(sql, *parts) if views else sql.strip()
         return fn
 
     return wrap

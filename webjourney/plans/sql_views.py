@@ -137,17 +137,17 @@ fj AS (
         THEN json_extract(data, '$.values')::VARCHAR END END AS fv
   FROM ve WHERE event_type = 'form_submit'),
 fk AS (SELECT *, json_keys(fv) AS keys FROM fj),
-fx AS (SELECT *, list_transform(keys, k -> json_extract_string(fv, '$."' || k || '"')) AS vals FROM fk),
+fx AS (SELECT *, list_transform(keys, lambda k: json_extract_string(fv, '$."' || k || '"')) AS vals FROM fk),
 real_forms AS (
-  SELECT *, list_extract(list_filter(list_zip(keys, vals), p -> lower(p[1]) LIKE '%mail%' AND p[2] LIKE '%@%'), 1)[2] AS f_email,
-    list_extract(list_filter(list_zip(keys, vals), p -> regexp_matches(lower(p[1]), 'name|user|full') AND trim(p[2]) <> ''), 1)[2] AS f_name
+  SELECT *, list_extract(list_filter(list_zip(keys, vals), lambda p: lower(p[1]) LIKE '%mail%' AND p[2] LIKE '%@%'), 1)[2] AS f_email,
+    list_extract(list_filter(list_zip(keys, vals), lambda p: regexp_matches(lower(p[1]), 'name|user|full') AND trim(p[2]) <> ''), 1)[2] AS f_name
   FROM fx
   WHERE fv IS NOT NULL AND length(data) <= 5000
     AND data NOT LIKE '%timingsV2%' AND data NOT LIKE '%memory.totalJSHeapSize%' AND data NOT LIKE '%eventType%'
     AND NOT list_has_any(keys, ['query','search','page_size','group_size','search_type','score_threshold',
                                 'highlight_options','filters.must_not','extend_results'])
     AND NOT (len(keys) = 1 AND keys[1] = 'data' AND (length(vals[1]) > 200 OR vals[1] LIKE 'eyJ%'))
-    AND (len(list_filter(keys, k -> lower(k) IN ('email','name','company','message','phone','organization',
+    AND (len(list_filter(keys, lambda k: lower(k) IN ('email','name','company','message','phone','organization',
             'user_email','full_name','company_name','first_name','last_name','subject','comments','inquiry','body')
             OR regexp_matches(lower(k), 'email|name|company'))) > 0
          OR coalesce(json_extract(data, '$.filled_fields')::INT, 0) >= 1)
