@@ -70,7 +70,7 @@ class Timeline:
     def _add(self, name: str, value: Column, local, summary: Column, carried, merge) -> "Timeline":
         """Window column ``local``; in a sliced key merged with what ``carried`` takes from the
         summaries of the earlier slices."""
-        base = self.df.withColumn("_v", value)
+        base = self.df.withColumn("__value", value)
         out = base.withColumn(name, local(self._window))
         if self.hot:
             slices = (
@@ -83,15 +83,15 @@ class Timeline:
                 out.join(carry, self._slice_keys, "left")
                 .withColumn(name, merge(F.col(name), F.col("_in"))).drop("_in")
             )
-        self.df = out.drop("_v")
+        self.df = out.drop("__value")
         return self
 
     def previous(self, name: str, value: Column) -> "Timeline":
         """``value`` (a struct) of the row before; NULL on the first row of a key."""
         return self._add(
             name, value,
-            lambda w: F.lag("_v").over(w),
-            F.max_by("_v", F.struct(*self.order)),
+            lambda w: F.lag("__value").over(w),
+            F.max_by("__value", F.struct(*self.order)),
             lambda w: F.lag("_sum").over(w),
             lambda own, carry: F.coalesce(own, carry))
 
@@ -99,8 +99,8 @@ class Timeline:
         """Sum of ``value`` up to and including the row."""
         return self._add(
             name, value,
-            lambda w: F.sum("_v").over(w.rowsBetween(Window.unboundedPreceding, 0)),
-            F.sum("_v"),
+            lambda w: F.sum("__value").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+            F.sum("__value"),
             lambda w: F.sum("_sum").over(w.rowsBetween(Window.unboundedPreceding, -1)),
             lambda own, carry: own + F.coalesce(carry, F.lit(0)))
 
@@ -108,8 +108,8 @@ class Timeline:
         """Latest non-NULL ``value`` up to and including the row."""
         return self._add(
             name, value,
-            lambda w: F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-            F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*self.order))),
+            lambda w: F.last("__value", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+            F.max_by("__value", F.when(F.col("__value").isNotNull(), F.struct(*self.order))),
             lambda w: F.last("_sum", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
             lambda own, carry: F.coalesce(own, carry))
 
