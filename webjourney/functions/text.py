@@ -25,7 +25,7 @@ def or_else(c: Column, default: str) -> Column:
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.when(c != "", c)
+    return F.nullif(c, F.lit(""))
 
 
 def drop_control_chars(c: Column) -> Column:

@@ -190,7 +190,7 @@ def funnel_stage_users(
         F.max_by(F.struct("event_data", "page_url", "timestamp"), F.struct("timestamp", "id")).alias("f"))
     data = F.col("f.event_data")
     has_data = F.coalesce((data != "") & (data != "{}"), F.lit(False))
-    email, name = forms.loose_profile(data)
+    contact = forms.loose_profile(data)
     first, last = F.col("a"), F.col("z")
     return (
         stage.join(touched, "client_id").join(paths, "client_id", "left").join(forms_of, "client_id", "left")
@@ -206,7 +206,7 @@ def funnel_stage_users(
             forms.values_json(data).alias("captured_data"),
             F.when(has_data, F.col("f.page_url")).alias("captured_page"),
             F.when(has_data, F.col("f.timestamp")).alias("captured_at"),
-            email.alias("email"), name.alias("name"),
+            contact["email"].alias("email"), contact["name"].alias("name"),
             F.coalesce("path_sequence", F.lit("")).alias("path_sequence"),
             F.floor(seconds_between(last["timestamp"], first["timestamp"])).alias("duration_seconds"))
     )
