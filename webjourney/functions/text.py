@@ -9,8 +9,8 @@ from webjourney.config import SENSITIVE_FIELD_TOKENS
 
 # Control characters, and the two sets of recognizable characters.
 CONTROL_CHARS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"
-RECOGNIZABLE = r"""[a-zA-Z0-9\s@._\-+(),:;!?'"<>/\\&%$#]"""
-RECOGNIZABLE_NARROW = r"""[a-zA-Z0-9\s@._\-+(),:;!?'"]"""
+RECOGNIZABLE = r"""(?U)[a-zA-Z0-9\s@._\-+(),:;!?'"<>/\\&%$#]"""
+RECOGNIZABLE_NARROW = r"""(?U)[a-zA-Z0-9\s@._\-+(),:;!?'"]"""
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 
 
@@ -54,7 +54,7 @@ def is_sensitive_field(name: Column, field_type: Column | None = None) -> Column
 
 
 def mask_value(
-    value: Column, name: Column, field_type: Column | None = None, max_len: int = 1000
+    value: Column, name: Column, field_type: Column | None = None, max_len: int | None = 1000
 ) -> Column:
     """Value safe to keep from a form field: NULL when masked or rejected, else cleaned and cut."""
     trimmed = strip(F.coalesce(value, F.lit("")))
@@ -62,10 +62,8 @@ def mask_value(
     blob = (F.length(trimmed) > 100) & trimmed.rlike(r"^[A-Za-z0-9+/=]{100,}$")
     token = trimmed.startswith("eyJ") & (F.size(F.split(trimmed, r"\.")) == 3)
     noise = (F.length(clean) > 0) & _too_unreadable(clean, RECOGNIZABLE_NARROW)
-    return F.when(
-        ~(is_sensitive_field(name, field_type) | blob | token | noise),
-        F.substring(clean, 1, max_len),
-    )
+    kept = clean if max_len is None else F.substring(clean, 1, max_len)
+    return F.when(~(is_sensitive_field(name, field_type) | blob | token | noise), kept)
 
 
 def mask_outcome(value: Column, name: Column, field_type: Column | None = None) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webjourney.functions.forms import field
+from webjourney.functions.jsontext import quoted, set_fields
 from webjourney.functions.predicates import good_country, micros
 from webjourney.operators.ordered import Timeline, may_have_hot_key
 
@@ -222,37 +223,11 @@ def repair_events(events: DataFrame, visits: DataFrame, sessions: DataFrame) ->
     changed = needs & (use_v | use_s)
     return e.select(
         *[c for c in events.columns if c != "event_data"],
-        F.when(changed, set_json_fields(F.col("event_data"), country=country, city=city))
+        F.when(changed, set_fields(F.col("event_data"), {"country": quoted(country), "city": quoted(city)}))
         .otherwise(F.col("event_data")).alias("event_data"),
         country.alias("country"), city.alias("city"), changed.alias("changed"))
 
 
-def set_json_fields(payload: Column, **values: Column) -> Column:
-    """JSON object text with top-level string fields replaced in place or appended."""
-    keys = F.json_object_keys(payload)
-
-    def text(k: Column) -> Column:
-        # Raw text of a field: objects and numbers as they are, strings quoted again.
-        raw = F.get(F.filter(F.map_entries(F.from_json(payload, "map<string,variant>")),
-                             lambda e: e["key"] == k), F.lit(0))["value"]
-        return F.coalesce(F.to_json(raw), F.lit("null"))
-
-    def quoted(c: Column) -> Column:
-        return F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
-
-    def item(k: Column) -> Column:
-        value = text(k)
-        for name, c in values.items():
-            value = F.when(k == name, quoted(c)).otherwise(value)
-        return F.concat(quoted(k), F.lit(":"), value)
-
-    present = F.transform(keys, item)
-    added = F.array(*[
-        F.when(~F.array_contains(keys, name), F.concat(F.lit(f'"{name}":'), quoted(c)))
-        for name, c in values.items()])
-    return F.concat(F.lit("{"), F.array_join(F.concat(present, added), ","), F.lit("}"))
-
-
 def repair_all(visits: DataFrame, events: DataFrame, sessions: DataFrame) -> dict[str, DataFrame]:
     """Sessions, then visits, then events, each using what was repaired before it."""
     s = repair_sessions(sessions, visits)
