@@ -68,7 +68,7 @@ def query_map(url: str) -> Column:
 
 def _first_param_sql(url: str, name: str) -> str:
     # Without escapes the query needs no split: first non-blank value of the name.
-    plain = f"regexp_extract({url}, r'^[^?#]*\?(?:[^#]*?&)?{name}=([^&#]+)', 1)"
+    plain = f"regexp_extract({url}, r'^[^?#]*[?](?:[^#]*?&)?{name}=([^&#]+)', 1)"
     split = f"get(filter({query_pairs_sql(url)}, e -> e.k = '{name}'), 0).v"
     return f"if(contains({url}, '%'), {split}, nullif(replace({plain}, '+', ' '), ''))"
 

@@ -252,7 +252,7 @@ SELECT id, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS position, key,
         ELSE trim(regexp_replace(json_extract_string(data, '$."' || k || '"'), '[[:cntrl:]]', '', 'g')) END)
     FROM (SELECT id, data, CASE WHEN data LIKE '{"values"%' THEN list_transform(json_keys(data, '$.values'), lambda k: 'values.' || k)
         ELSE json_keys(data) END AS ks FROM ve WHERE data LIKE '{%' AND data NOT LIKE '{"form_values"%')))
-WHERE value IS NOT NULL AND regexp_matches(value, '[a-zA-Z0-9]')""")
+WHERE value = '' OR regexp_matches(value, '[a-zA-Z0-9]')""")
 def payload_flatten(t):
     return quality.flatten_events(t.events)
 

@@ -26,21 +26,25 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    @cached_property
+    def log(self) -> DataFrame:
+        return weblog.log(self.spark, self.dir)
+
     @cached_property
     def visits(self) -> DataFrame:
-        return weblog.visits(self.spark, self.dir)
+        return weblog.visits(self.log)
 
     @cached_property
     def events(self) -> DataFrame:
-        return weblog.visit_events(self.spark, self.dir)
+        return weblog.visit_events(self.log)
 
     @cached_property
     def sessions(self) -> DataFrame:
-        return weblog.sessions(self.spark, self.dir)
+        return weblog.sessions(self.log)
 
     @cached_property
     def ips(self) -> DataFrame:
-        return weblog.ip_enrichment(self.spark, self.dir)
+        return weblog.ip_enrichment(self.log)
 
 
 def flat(df: DataFrame) -> DataFrame:

@@ -83,11 +83,19 @@ _FORM_PAYLOADS = (
 )
 
 
-def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table as a file stream."""
+    return spark.readStream.schema(log(spark, sf_dir).schema).parquet(f"{sf_dir}/events*.parquet")
+
+
+def hits(raw: DataFrame) -> DataFrame:
     """Every row of the events table with the columns shared by all views."""
     return (
-        spark.read.parquet(f"{sf_dir}/events.parquet")
-        .selectExpr(
+        raw.selectExpr(
             "event_id AS id", "timestamp(ts) AS timestamp", "user_id AS _u", "event_type AS _kind",
             "value", "props",
             "CASE WHEN user_id % 10 <> 9 THEN 'c' || user_id END AS client_id",
@@ -116,9 +124,9 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def visits(raw: DataFrame) -> DataFrame:
     """Page hits."""
-    df = hits(spark, sf_dir).where("_kind IN ('view', 'click')")
+    df = hits(raw).where("_kind IN ('view', 'click')")
     return df.selectExpr(
         "*",
         f"{_pick(CRAWLERS, '_u % 12')} AS crawler_type",
@@ -132,10 +140,10 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("_u", "_kind", "_query", "value", "props", "referrer_domain")
 
 
-def visit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def visit_events(raw: DataFrame) -> DataFrame:
     """Interactions: every row, linked to its visit when it is a page hit."""
     forms = " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(_FORM_PAYLOADS))
-    df = hits(spark, sf_dir).selectExpr(
+    df = hits(raw).selectExpr(
         "*",
         f"""CASE _kind WHEN 'view' THEN 'page_view' WHEN 'click' THEN 'navigation'
             WHEN 'signup' THEN 'form_submit' WHEN 'purchase' THEN {_pick(PURCHASE_EVENTS, 'id % 3')}
@@ -152,10 +160,10 @@ def visit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("_u", "_kind", "_query", "value", "props")
 
 
-def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sessions(raw: DataFrame) -> DataFrame:
     """Stored sessions: one per address and user agent, as kept before any rebuild."""
     order = "struct(timestamp, id)"
-    agg = hits(spark, sf_dir).groupBy(F.col("session_id").alias("_sid")).agg(*[F.expr(e) for e in (
+    agg = hits(raw).groupBy(F.col("session_id").alias("_sid")).agg(*[F.expr(e) for e in (
         "min(ip_address) AS ip_address", "min(user_agent) AS user_agent",
         "min(client_id) AS client_id", "min(timestamp) AS first_visit", "max(timestamp) AS last_visit",
         "int(count_if(_kind IN ('view', 'click'))) AS visit_count",
@@ -170,10 +178,10 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "*", "true AS is_external_entry", *[f"string(NULL) AS {c}" for c in nulls])
 
 
-def ip_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ip_enrichment(raw: DataFrame) -> DataFrame:
     """Enrichment state of the public addresses seen in the log."""
     ips = (
-        hits(spark, sf_dir).where("ip_address LIKE '81.2.69.%'").groupBy(F.col("ip_address").alias("ip"))
+        hits(raw).where("ip_address LIKE '81.2.69.%'").groupBy(F.col("ip_address").alias("ip"))
         .agg(F.min("timestamp").alias("first_seen_at"), F.max("timestamp").alias("last_seen_at"))
         .selectExpr("*", "int(substring_index(ip, '.', -1)) AS n")
         .selectExpr("*", "n % 5 AS k").where("k <> 0")
