@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from webjourney.config import (
     MEANINGFUL_FORM_KEYS, NOISE_TOKENS, PERSONAL_MAIL_DOMAINS, SEARCH_FORM_KEYS,
 )
-from webjourney.functions.text import blank_to_null, strip
+from webjourney.functions.text import blank_to_null, let, strip
 
 _MAP = "map<string,string>"
 
@@ -20,15 +20,6 @@ def field(payload: Column, name: str) -> Column:
     return blank_to_null(F.get_json_object(payload, f"$.{name}"))
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once, however often the body names it.
-
-    Catalyst copies an expression to every place that refers to it when it merges projections
-    and pushes filters; a lambda variable stays one evaluation.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def values_json(payload: Column) -> Column:
     """JSON text of ``form_values`` if it is non-empty, else of ``values``."""
     return F.coalesce(

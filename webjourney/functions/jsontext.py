@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from webjourney.functions.forms import let
+from webjourney.functions.text import let
 
 
 def quoted(c: Column) -> Column:
@@ -15,21 +15,20 @@ def quoted(c: Column) -> Column:
 
 
 def typed_entries(text: Column) -> Column:
-    """``array<struct<key,text,raw,is_text>>`` of an object in its own order.
+    """``array<struct<key,text,kind>>`` of an object in its own order.
 
-    ``text`` is the unquoted value, ``raw`` its JSON text.
+    ``text`` is the unquoted value, ``kind`` its variant type (STRING, OBJECT<…>, VOID …).
     """
     texts = F.map_entries(F.from_json(text, "map<string,string>"))
     typed = F.map_values(F.from_json(text, "map<string,variant>"))
+    return F.zip_with(texts, typed, lambda e, v: F.struct(
+        e["key"].alias("key"), e["value"].alias("text"),
+        F.coalesce(F.schema_of_variant(v), F.lit("VOID")).alias("kind")))
 
-    def entry(e: Column, kind: Column) -> Column:
-        is_text = F.coalesce(F.schema_of_variant(kind) == "STRING", F.lit(False))
-        return F.struct(
-            e["key"].alias("key"), e["value"].alias("text"),
-            F.when(is_text, quoted(e["value"])).otherwise(F.coalesce(e["value"], F.lit("null"))).alias("raw"),
-            is_text.alias("is_text"))
 
-    return F.zip_with(texts, typed, entry)
+def raw_text(e: Column) -> Column:
+    """JSON text of a typed entry."""
+    return F.when(e["kind"] == "STRING", quoted(e["text"])).otherwise(F.coalesce(e["text"], F.lit("null")))
 
 
 def object_text(items: Column) -> Column:
@@ -42,7 +41,7 @@ def set_fields(payload: Column, raw: dict[str, Column]) -> Column:
     """Top-level fields set to the given JSON texts, in place or appended."""
     def rewritten(entries: Column) -> Column:
         def item(e: Column) -> Column:
-            value = e["raw"]
+            value = raw_text(e)
             for name, text in raw.items():
                 value = F.when(e["key"] == name, text).otherwise(value)
             return F.struct(e["key"].alias("key"), value.alias("raw"))

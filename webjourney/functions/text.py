@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,11 +11,21 @@ from webjourney.config import SENSITIVE_FIELD_TOKENS
 
 # Control characters, and the two sets of recognizable characters.
 CONTROL_CHARS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"
-RECOGNIZABLE = r"""(?U)[a-zA-Z0-9\s@._\-+(),:;!?'"<>/\\&%$#]"""
-RECOGNIZABLE_NARROW = r"""(?U)[a-zA-Z0-9\s@._\-+(),:;!?'"]"""
+_SPACES = r"\s\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+RECOGNIZABLE = "[a-zA-Z0-9" + _SPACES + r"""@._\-+(),:;!?'"<>/\\&%$#]+"""
+RECOGNIZABLE_NARROW = "[a-zA-Z0-9" + _SPACES + r"""@._\-+(),:;!?'"]+"""
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it.
+
+    Catalyst copies an expression to every place that refers to it when it merges projections
+    and pushes filters; a lambda variable stays one evaluation.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -39,10 +51,8 @@ def _too_unreadable(clean: Column, recognizable: str) -> Column:
 
 def is_garbage(c: Column) -> Column:
     """Under 30 % readable characters, or nothing alphanumeric. NULL and '' are not garbage."""
-    clean = drop_control_chars(c)
-    return F.when(
-        c.isNull() | (c == ""), F.lit(False)
-    ).otherwise((F.length(clean) == 0) | _too_unreadable(clean, RECOGNIZABLE))
+    bad = let(drop_control_chars(c), lambda clean: (F.length(clean) == 0) | _too_unreadable(clean, RECOGNIZABLE))
+    return F.when(c.isNull() | (c == ""), F.lit(False)).otherwise(bad)
 
 
 def is_sensitive_field(name: Column, field_type: Column | None = None) -> Column:
@@ -57,13 +67,18 @@ def mask_value(
     value: Column, name: Column, field_type: Column | None = None, max_len: int | None = 1000
 ) -> Column:
     """Value safe to keep from a form field: NULL when masked or rejected, else cleaned and cut."""
-    trimmed = strip(F.coalesce(value, F.lit("")))
-    clean = drop_control_chars(trimmed)
-    blob = (F.length(trimmed) > 100) & trimmed.rlike(r"^[A-Za-z0-9+/=]{100,}$")
-    token = trimmed.startswith("eyJ") & (F.size(F.split(trimmed, r"\.")) == 3)
-    noise = (F.length(clean) > 0) & _too_unreadable(clean, RECOGNIZABLE_NARROW)
-    kept = clean if max_len is None else F.substring(clean, 1, max_len)
-    return F.when(~(is_sensitive_field(name, field_type) | blob | token | noise), kept)
+    def safe(trimmed: Column) -> Column:
+        blob = (F.length(trimmed) > 100) & trimmed.rlike(r"^[A-Za-z0-9+/=]{100,}$")
+        token = trimmed.startswith("eyJ") & (F.size(F.split(trimmed, r"\.")) == 3)
+
+        def readable(clean: Column) -> Column:
+            noise = (F.length(clean) > 0) & _too_unreadable(clean, RECOGNIZABLE_NARROW)
+            return F.when(~noise, clean if max_len is None else F.substring(clean, 1, max_len))
+
+        return F.when(~(blob | token), let(drop_control_chars(trimmed), readable))
+
+    return F.when(
+        ~is_sensitive_field(name, field_type), let(strip(F.coalesce(value, F.lit(""))), safe))
 
 
 def mask_outcome(value: Column, name: Column, field_type: Column | None = None) -> Column:
@@ -78,7 +93,7 @@ def mask_outcome(value: Column, name: Column, field_type: Column | None = None)
 
 def first_email(c: Column) -> Column:
     """First email address in a text, NULL if there is none."""
-    return blank_to_null(F.regexp_extract(c, f"({EMAIL})", 1))
+    return F.when(c.contains("@"), blank_to_null(F.regexp_extract(c, f"({EMAIL})", 1)))
 
 
 def profile_from_text(c: Column) -> tuple[Column, Column]:

@@ -13,7 +13,7 @@ from webjourney.functions import forms
 from webjourney.functions.journeys import uid
 from webjourney.functions.predicates import Moment, has_prefix, in_range, seconds_between
 from webjourney.functions.text import or_else
-from webjourney.operators.ordered import ordered_join
+from webjourney.operators.ordered import may_have_hot_key, ordered_join
 
 
 def _step_rows(
@@ -184,7 +184,7 @@ def funnel_stage_users(
     in_stage = in_range(v, start, end).join(stage.select("client_id"), "client_id", "left_semi")
     touched = _touches(in_stage)
     paths = ordered_join(in_stage.where(F.col("path") != ""), ["client_id"], ["timestamp", "id"],
-                         F.col("path"), " → ", "path_sequence")
+                         F.col("path"), " → ", "path_sequence", may_have_hot_key(visits))
     # Latest form of the client, whatever it contains and whenever it was sent.
     forms_of = e.where(F.col("event_type") == "form_submit").groupBy("client_id").agg(
         F.max_by(F.struct("event_data", "page_url", "timestamp"), F.struct("timestamp", "id")).alias("f"))

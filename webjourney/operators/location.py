@@ -123,31 +123,33 @@ def resolve_event_location(events: DataFrame, visits: DataFrame, sessions: DataF
                       F.col("city").alias("v_city"))
     s = sessions.select(F.col("id").alias("session_id"), F.col("country").alias("s_country"),
                         F.col("city").alias("s_city"))
-    e = events.join(v, ["visit_id", "session_id"], "left").join(s, "session_id", "left")
-    p_country, p_city = field(F.col("event_data"), "country"), field(F.col("event_data"), "city")
+    e = events.join(v, ["visit_id", "session_id"], "left").join(s, "session_id", "left").withColumn(
+        "_p", F.from_json("event_data", "country string, city string"))
+    p_country = F.nullif(F.col("_p.country"), F.lit(""))
+    placeholder = p_country.eqNullSafe(F.lit("XX"))
     has_data = F.coalesce((F.col("event_data") != "") & (F.col("event_data") != "{}"), F.lit(False))
     known = lambda c: F.coalesce(c != "", F.lit(False))
-    cases = (
-        (good_country(F.col("v_country")), F.col("v_country"), F.col("v_city"), "visit"),
-        (good_country(F.col("s_country")), F.col("s_country"), F.col("s_city"), "session"),
-        (good_country(p_country), p_country, p_city, "event_data"),
-        (p_country.eqNullSafe(F.lit("XX")) & known(F.col("s_country")), F.col("s_country"), F.col("s_city"), "session_xx"),
-        (p_country.eqNullSafe(F.lit("XX")) & known(F.col("v_country")), F.col("v_country"), F.col("v_city"), "visit_xx"),
-        (has_data, p_country, p_city, "event_data_xx"),
-    )
-    country = city = label = F
-    for cond, c, t, name in cases:
-        country, city, label = country.when(cond, c), city.when(cond, t), label.when(cond, name)
-    return (
-        e.withColumn("r_country", country).withColumn("r_city", city)
-        .withColumn("location_source", label.otherwise("none"))
-        .drop("v_country", "v_city", "s_country", "s_city")
-    )
+
+    def place(kind: str, label: str) -> Column:
+        country, city = (p_country, F.nullif(F.col("_p.city"), F.lit(""))) if kind == "_p" else (
+            F.col(f"{kind}_country"), F.col(f"{kind}_city"))
+        return F.struct(country.alias("country"), city.alias("city"), F.lit(label).alias("source"))
+
+    chosen = (
+        F.when(good_country(F.col("v_country")), place("v", "visit"))
+        .when(good_country(F.col("s_country")), place("s", "session"))
+        .when(good_country(p_country), place("_p", "event_data"))
+        .when(placeholder & known(F.col("s_country")), place("s", "session_xx"))
+        .when(placeholder & known(F.col("v_country")), place("v", "visit_xx"))
+        .when(has_data, place("_p", "event_data_xx")))
+    return e.withColumn("_r", chosen).select(
+        *events.columns, F.col("_r.country").alias("r_country"), F.col("_r.city").alias("r_city"),
+        F.coalesce("_r.source", F.lit("none")).alias("location_source"))
 
 
 def session_timeline(visits: DataFrame, events: DataFrame, sessions: DataFrame,
                      session_id: str | None = None) -> DataFrame:
-    """Visits and located events of every session (or one), in order."""
+    """Visits and located events of every session, or of one in time order."""
     if session_id is not None:
         visits = visits.where(F.col("session_id") == session_id)
         events = events.where(F.col("session_id") == session_id)
@@ -162,8 +164,8 @@ def session_timeline(visits: DataFrame, events: DataFrame, sessions: DataFrame,
                    field(F.col("event_data"), "source")).alias("source"),
         "event_type", F.col("r_country").alias("country"), F.col("r_city").alias("city"), "location_source")
     own = v.join(sessions.select(F.col("id").alias("session_id")), "session_id", "left_semi")
-    return own.unionByName(e, allowMissingColumns=True).orderBy(
-        "session_id", "timestamp", F.desc("item_type"), "id")
+    rows = own.unionByName(e, allowMissingColumns=True)
+    return rows if session_id is None else rows.orderBy("timestamp", F.desc("item_type"), "id")
 
 
 # --- repair ---------------------------------------------------------------------------

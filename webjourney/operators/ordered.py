@@ -9,6 +9,8 @@ same as those of one window per key.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -46,6 +48,19 @@ def slice_widths(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
     )
 
 
+def work_dir(spark: SparkSession) -> str:
+    """A fresh folder under the cluster's shared one (a temporary one where none is set)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="webjourney-")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def work_table(df: DataFrame) -> DataFrame:
+    """The rows written once and read back: later steps share them and survive lost executors."""
+    path = work_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Timeline:
     """Rows of a key in order. ``order`` starts with a timestamp column and ends unique."""
 

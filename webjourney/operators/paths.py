@@ -9,7 +9,7 @@ from webjourney.functions import forms, url
 from webjourney.functions.journeys import uid
 from webjourney.functions.predicates import Moment, days_before, hits_target, micros, seconds_between
 from webjourney.functions.text import first_email
-from webjourney.operators.ordered import Timeline, ordered_join, running_counts
+from webjourney.operators.ordered import Timeline, may_have_hot_key, ordered_join, running_counts, work_table
 
 ARROW = " → "
 
@@ -40,7 +40,7 @@ def path_analysis(visits: DataFrame, events: DataFrame, target: str, as_of: Mome
         F.col("timestamp") <= F.col("conversion_at"))
     touch = journey.groupBy("uid").agg(
         F.min_by(F.struct("referrer", "source", "medium", "timestamp"), order).alias("ft"))
-    t = Timeline(journey, ["uid"], ["timestamp", "id"]).previous("_prev", F.struct("path"))
+    t = Timeline(journey, ["uid"], ["timestamp", "id"], may_have_hot_key(visits)).previous("_prev", F.struct("path"))
     steps = t.done().where(F.col("_prev").isNull() | ~F.coalesce(
         F.col("_prev.path") == F.col("path"), F.lit(False)))
     paths = ordered_join(steps, ["uid"], ["timestamp", "id"], F.col("path"), ARROW, "journey_to_conversion", t.hot)
@@ -106,7 +106,7 @@ def stitch_visits(visits: DataFrame, clients: DataFrame, hours: float = 24) -> D
     before = candidates.select(
         *keys, F.col("timestamp").alias("at"), F.lit(False).alias("inclusive"), F.lit(-1).alias("_sign"), body)
     counted = running_counts(
-        targets.withColumnRenamed("timestamp", "at"), up_to.unionByName(before), keys)
+        targets.withColumnRenamed("timestamp", "at"), up_to.unionByName(before), keys, may_have_hot_key(visits))
     foreign = counted.groupBy("unified_client_id", "_visit.id").agg(
         F.sum(F.col("n") * F.col("_sign")).alias("times"), F.any_value("_visit").alias("_visit")).where(
         F.col("times") > 0).select("unified_client_id", "times", *[F.col(f"_visit.{c}").alias(c) for c in _CARRIED])
@@ -124,7 +124,9 @@ def stitched_funnel(
     """Sign-up to completion with the history recovered by identity stitching."""
     order = F.struct("timestamp", "id")
     done = completers(visits, first_target, last_target)
-    related = stitch_visits(visits, done, hours)
+    hot = may_have_hot_key(visits)
+    # Read three times below, and costly to derive.
+    related = work_table(stitch_visits(visits, done, hours))
     tags = ("utm_source", "utm_medium", "utm_campaign", "d", "tid")
     at_first, at_last = (hits_target(F.col("path"), p) for p in (first_target, last_target))
     facts = related.withColumn("_p1", F.when(at_first, url.render_params("page_url", drop=(*tags, "ref")))).withColumn(
@@ -138,7 +140,7 @@ def stitched_funnel(
     item = F.concat(F.col("path"), F.lit(" ("), F.col("page_domain"), F.lit(")"))
     # Equal rows stand next to each other, so a visit repeats its own text.
     paths = ordered_join(until, ["unified_client_id"], ["timestamp", "id"], F.when(
-        item.isNotNull(), _repeated(item, ARROW)), ARROW, "full_journey_path")
+        item.isNotNull(), _repeated(item, ARROW)), ARROW, "full_journey_path", hot)
 
     sent = events.where(F.col("event_type").isin("form_submit", "custom", "click", "form_start")
                         & F.col("event_data").isNotNull() & F.col("visit_id").isNotNull()).select(
@@ -149,7 +151,7 @@ def stitched_funnel(
     def collected(target: str, name: str) -> DataFrame:
         rows = linked.where(F.col("epath").rlike(f"(?i)^.*{target}.*"))
         out = ordered_join(rows, ["unified_client_id"], ["ets", "eid"],
-                           _repeated(F.col("event_data"), ", "), ", ", "_j")
+                           _repeated(F.col("event_data"), ", "), ", ", "_j", hot)
         return out.select("unified_client_id", F.concat(F.lit("["), F.col("_j"), F.lit("]")).alias(name))
 
     params = lambda c: F.when(F.size(c) > 0, F.array_join(c, " || "))

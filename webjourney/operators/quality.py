@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from webjourney.config import DANGEROUS_KEYS, FLATTEN_SKIP_TOKENS, INJECTION_PATTERNS
 from webjourney.functions import text, url
-from webjourney.functions.forms import let
-from webjourney.functions.jsontext import object_text, quoted, set_fields, typed_entries
+from webjourney.functions.text import let
+from webjourney.functions.jsontext import object_text, quoted, raw_text, set_fields, typed_entries
 from webjourney.functions.predicates import micros
 from webjourney.operators.ordered import Timeline
 
@@ -31,13 +31,16 @@ def clean_form_events(events: DataFrame) -> DataFrame:
     cleaned = lambda c: text.strip(text.drop_control_chars(c))
 
     def fixed(e: Column) -> Column:
-        value = F.when(e["is_text"], F.when(~text.is_garbage(e["text"]), text.blank_to_null(cleaned(e["text"]))))
-        raw = F.when(e["is_text"], F.when(value.isNotNull(), quoted(value))).when(e["raw"] != "null", e["raw"])
-        return F.struct(e["key"].alias("key"), raw.alias("raw"), (~raw.eqNullSafe(e["raw"])).alias("changed"))
+        is_text, kept = e["kind"] == "STRING", text.blank_to_null(cleaned(e["text"]))
+        value = let(F.struct(F.when(is_text & ~text.is_garbage(e["text"]), kept).alias("v")), lambda x: F.struct(
+            e["key"].alias("key"),
+            F.when(~is_text, F.nullif(raw_text(e), F.lit("null"))).when(x["v"].isNotNull(), quoted(x["v"])).alias("raw"),
+            F.when(is_text, ~x["v"].eqNullSafe(e["text"])).otherwise(e["kind"] == "VOID").alias("changed")))
+        return value
 
     values = let(typed_entries(form_values), lambda entries: F.transform(entries, fixed))
     has_values = F.coalesce(form_values.startswith("{"), F.lit(False))
-    field = F.filter(typed_entries(data), lambda e: (e["key"] == "field_value") & e["is_text"])
+    field = F.filter(typed_entries(data), lambda e: (e["key"] == "field_value") & (e["kind"] == "STRING"))
     old = F.get(field, F.lit(0))["text"]
     new = F.when(~text.is_garbage(old), cleaned(old))
 
@@ -82,25 +85,22 @@ def flatten_payload(payload: Column, max_parts: int = 4, max_keys: int = 50) ->
 
     def items(body: Column) -> Column:
         """Entries of an object, or of an array under its index numbers."""
-        values = F.from_json(body, "array<string>")
-        kinds = F.from_json(body, "array<variant>")
-        as_array = F.transform(values, lambda v, i: let(
-            F.coalesce(F.schema_of_variant(F.get(kinds, i)) == "STRING", F.lit(False)),
-            lambda t: F.struct(
-                i.cast("string").alias("key"), v.alias("text"),
-                F.when(t, quoted(v)).otherwise(F.coalesce(v, F.lit("null"))).alias("raw"), t.alias("is_text"))))
-        return F.when(body.startswith("["), as_array).otherwise(typed_entries(body))
+        as_array = F.zip_with(
+            F.from_json(body, "array<string>"), F.from_json(body, "array<variant>"),
+            lambda v, k: F.struct(v.alias("text"), F.coalesce(F.schema_of_variant(k), F.lit("VOID")).alias("kind")))
+        numbered = F.transform(as_array, lambda e, i: F.struct(
+            i.cast("string").alias("key"), e["text"].alias("text"), e["kind"].alias("kind")))
+        return F.when(body.startswith("["), numbered).otherwise(typed_entries(body))
 
     def level(body: Column, prefix: Column | None, parts: int) -> Column:
         def entry(e: Column) -> Column:
             key = e["key"] if prefix is None else F.concat(prefix, F.lit("."), e["key"])
-            masked = text.mask_value(e["text"], key)
-            nested = e["raw"].rlike(r"^[\[{]")
-            out = F.when(F.lower(key).rlike(skip) | (e["raw"] == "null"), empty).when(
-                e["is_text"], F.when(masked.isNotNull(), leaf(key, masked)).otherwise(empty))
+            nested = e["kind"].rlike("^(OBJECT|ARRAY)")
+            out = F.when(F.lower(key).rlike(skip) | (e["kind"] == "VOID"), empty).when(
+                e["kind"] == "STRING", F.filter(leaf(key, text.mask_value(e["text"], key)), lambda x: x["value"].isNotNull()))
             if parts < max_parts:
                 out = out.when(nested, level(e["text"], key, parts + 1))
-            return out.otherwise(F.when(nested, empty).otherwise(leaf(key, e["raw"])))
+            return out.otherwise(F.when(nested, empty).otherwise(leaf(key, e["text"])))
 
         return F.flatten(F.transform(items(body), entry))
 

@@ -372,9 +372,10 @@ def live_feed(events: DataFrame, limit: int | None = 100, since_id: int | None =
 
 
 def client_visits(visits: DataFrame, client_id: str | None = None) -> DataFrame:
-    """Visits of one client (or of all known clients), newest first."""
-    df = visits.where(F.col("client_id").isNotNull() if client_id is None
-                      else F.col("client_id") == client_id)
+    """Visits of one client newest first, or of all known clients."""
+    if client_id is None:
+        return visits.where(F.col("client_id").isNotNull())
+    df = visits.where(F.col("client_id") == client_id)
     return df.orderBy(F.desc("timestamp"), F.desc("id"))
 
 
@@ -513,8 +514,11 @@ def client_timeline(visits: DataFrame, events: DataFrame, client_id: str | None
         return df.where(F.col("client_id").isNotNull() if client_id is None
                         else F.col("client_id") == client_id)
 
-    return page(timeline(known(visits), known(events)),
-                ["client_id", "timestamp", F.desc("item_type"), "id"], limit, offset)
+    rows = timeline(known(visits), known(events))
+    if client_id is None and limit is None:
+        # All clients: a total order of the whole log would only cost a sort.
+        return rows
+    return page(rows, ["timestamp", F.desc("item_type"), "id"], limit, offset)
 
 
 def top_journeys(journeys: DataFrame, as_of: Moment, days: int = 7, k: int = 100) -> DataFrame:

@@ -10,7 +10,7 @@ from webjourney.functions.predicates import (
     Moment, contains_all, has_prefix, in_range, moment, same_text,
 )
 from webjourney.functions.text import or_else, strip
-from webjourney.operators.ordered import Timeline, ordered_join
+from webjourney.operators.ordered import Timeline, may_have_hot_key, ordered_join
 
 
 def _order() -> Column:
@@ -62,7 +62,8 @@ def _visit_side(visits: DataFrame, clients: DataFrame) -> DataFrame:
         F.min_by(F.struct("page_url", "source", "medium", "campaign", "referrer"), order).alias("first_visit"),
         F.max_by("page_url", order).alias("last_visit_page"))
     step = strip(F.coalesce("path", F.lit("")))
-    t = Timeline(v.select("client_id", "timestamp", "id", step.alias("p")), ["client_id"], ["timestamp", "id"])
+    t = Timeline(v.select("client_id", "timestamp", "id", step.alias("p")), ["client_id"], ["timestamp", "id"],
+                 may_have_hot_key(visits))
     t.previous("_prev", F.struct("p"))
     changes = t.done().where(F.col("_prev").isNull() | (F.col("_prev.p") != F.col("p")))
     paths = ordered_join(changes, ["client_id"], ["timestamp", "id"], or_else(F.col("p"), "(page)"), " → ",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from webjourney.operators.ordered import work_dir
 from webjourney.plans.registry import query
 from webjourney.plans.sessions import _LIVE, SPACING, _spaced
 from webjourney.sources import weblog
@@ -20,7 +21,7 @@ def _visits(t):
 
 
 def _run(t, stream):
-    root = live.work_dir(t.spark)
+    root = work_dir(t.spark)
     return live.run_available(stream, f"{root}/out", f"{root}/checkpoint")
 
 
@@ -62,7 +63,7 @@ FROM ve e
 LEFT JOIN (SELECT e.id, v.id AS vid, epoch_us(e.ts) - epoch_us(v.ts) AS age FROM ve e ASOF JOIN visits v
   ON e.ip = v.ip AND e.page_url = v.page_url AND e.ts >= v.ts) i ON i.id = e.id AND i.age <= {SPACING * 1000000}""")
 def stream_event_visit_link(t):
-    root = live.work_dir(t.spark)
+    root = work_dir(t.spark)
     handle = live.link_batch(lambda: t.visits, f"{root}/out", SPACING, 0)
     live.each_batch(_events(t), handle, f"{root}/checkpoint").awaitTermination()
     return t.spark.read.parquet(f"{root}/out").drop("batch")
@@ -84,7 +85,7 @@ SELECT id, ts AS timestamp, event_type, page_url, path, referrer, client_id, ses
   data AS event_data, domain AS page_domain, nullif(ref_host, '') AS referrer_domain
 FROM ve WHERE event_type <> 'heartbeat' ORDER BY ts DESC, id DESC LIMIT 100""")
 def stream_latest_events(t):
-    root = live.work_dir(t.spark)
+    root = work_dir(t.spark)
     live.each_batch(_events(t), live.latest_batch(root), f"{root}/checkpoint").awaitTermination()
     return t.spark.read.parquet(f"{root}/v0")
 
@@ -98,7 +99,7 @@ LEFT JOIN (SELECT a.id, b.country, b.city, epoch_us(a.ts) - epoch_us(b.ts) AS ag
   ASOF JOIN (SELECT * FROM visits WHERE country <> 'XX') b ON a.ip = b.ip AND a.ts >= b.ts) pv
   ON pv.id = v.id AND pv.age <= 259200000000""")
 def stream_geo_inherit(t):
-    root = live.work_dir(t.spark)
+    root = work_dir(t.spark)
     handle = live.locate_batch(lambda: t.visits, lambda: t.sessions.where(F.lit(False)), f"{root}/out", 72)
     live.each_batch(_visits(t), handle, f"{root}/checkpoint").awaitTermination()
     return t.spark.read.parquet(f"{root}/out").drop("batch")

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webjourney.config import CLIENT_SIDE_FIELDS
-from webjourney.functions import forms
 from webjourney.functions.predicates import Moment, between, days_before, moment
 from webjourney.functions.text import or_else
 from webjourney.operators.reports import with_session_place
@@ -84,12 +83,14 @@ def export_events(events: DataFrame, sessions: DataFrame, start: Moment | None =
     df = events.where(between(F.col("timestamp"), start, end))
     s = sessions.select(F.col("id").alias("session_id"), F.lit(True).alias("_known"),
                         F.col("country").alias("_c"), F.col("city").alias("_t"))
-    payload = lambda name: forms.field(F.col("event_data"), name)
+    df = df.withColumn("_p", F.from_json("event_data", ", ".join(f"{c} string" for c in (
+        "country", "city", "source", "medium", "campaign", "tracking_id", "crawler_type", "is_bot"))))
+    payload = lambda name: F.nullif(F.col(f"_p.{name}"), F.lit(""))
     country, city = payload("country"), payload("city")
     use_session = (country.isNull() | (country == "XX")) & F.coalesce("_known", F.lit(False))
     either = lambda c: _text(F.coalesce(F.nullif(F.col(c), F.lit("")), payload(c))).alias(c)
     has_data = F.col("event_data").isNotNull() & (F.col("event_data") != "{}")
-    bot = F.get_json_object("event_data", "$.is_bot")
+    bot = payload("is_bot")
     plain = ("session_id client_id event_type page_url referrer path page_domain referrer_domain").split()
     return df.join(s, "session_id", "left").select(
         "id", _text(iso(F.col("timestamp"))).alias("timestamp"),

@@ -6,11 +6,9 @@ fold sorted rows of one key.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -20,12 +18,6 @@ from webjourney.functions.journeys import Families, live_boundary, session_id, u
 from webjourney.operators import location, summaries
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A fresh folder under the cluster's shared one (a temporary one where none is set)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="webjourney-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def run_available(stream: DataFrame, out: str, checkpoint: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Process what is there into Parquet files and return them."""
     writer = (
@@ -205,7 +197,15 @@ def engagement(events: DataFrame, watermark: str = "10 minutes", width: str = "1
 def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str,
                interval: str | None = None):
     """Run ``handle`` per micro-batch: what is available, or every ``interval``."""
-    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    def cached(batch: DataFrame, batch_id: int) -> None:
+        # Handlers read their batch more than once.
+        batch.persist()
+        try:
+            handle(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    writer = stream.writeStream.foreachBatch(cached).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
     return writer.start()
 
