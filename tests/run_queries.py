@@ -1,5 +1,9 @@
-"""Run registered queries against their SQL: python tests/run_queries.py [sf_dir] [name ...]"""
+"""Run registered queries against their SQL: python tests/run_queries.py [sf_dir] [name ...]
 
+TARGET_ROWS=50 makes small keys count as hot, so the sliced plans run.
+"""
+
+import os
 import sys
 import time
 
@@ -12,7 +16,10 @@ from webjourney.session import get_spark  # noqa: E402
 if __name__ == "__main__":
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:]
-    spark = get_spark("local[8]", **{"spark.sql.shuffle.partitions": "8"})
+    conf = {"spark.sql.shuffle.partitions": "8"}
+    if os.environ.get("TARGET_ROWS"):
+        conf["spark.webjourney.targetRows"] = os.environ["TARGET_ROWS"]
+    spark = get_spark("local[8]", **conf)
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls = duck(sf), entry.oracle_sql()
     for name, fn in entry.queries().items():

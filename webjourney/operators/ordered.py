@@ -66,7 +66,7 @@ class Timeline:
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str],
                  hot: bool | None = None) -> None:
-        self.keys, self.order = list(keys), list(order)
+        self.keys, self.order, self.steps = list(keys), list(order), 0
         self.hot = may_have_hot_key(df) if hot is None else hot
         if self.hot:
             widths = F.broadcast(slice_widths(df, self.keys, self.order[0]))
@@ -85,6 +85,11 @@ class Timeline:
     def _add(self, name: str, value: Column, local, summary: Column, carried, merge) -> "Timeline":
         """Window column ``local``; in a sliced key merged with what ``carried`` takes from the
         summaries of the earlier slices."""
+        if self.hot and self.steps:
+            # Both branches below read the result of the step before; without a written table
+            # every further step would double the work.
+            self.df = work_table(self.df)
+        self.steps += 1
         base = self.df.withColumn("__value", value)
         out = base.withColumn(name, local(self._window))
         if self.hot:
@@ -196,7 +201,7 @@ def keep_spaced(
 
     parts, skeys = islands, ikeys
     if t.hot:
-        parts, skeys = _with_entry(islands, ikeys, ts, row_id, limit), [*ikeys, _SLICE]
+        parts, skeys = _with_entry(work_table(islands), ikeys, ts, row_id, limit), [*ikeys, _SLICE]
     return (
         parts.withColumn("_us", F.unix_micros(ts)).repartition(*skeys)
         .sortWithinPartitions(*skeys, ts, row_id)

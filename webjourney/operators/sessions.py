@@ -12,7 +12,7 @@ from webjourney.functions.journeys import (
 )
 from webjourney.functions.predicates import Moment, seconds_between
 from webjourney.functions.text import blank_to_null
-from webjourney.operators.ordered import Timeline, keep_spaced
+from webjourney.operators.ordered import Timeline, keep_spaced, work_table
 
 _ORDER = ["timestamp", "rank", "id"]
 
@@ -150,6 +150,8 @@ def assign_live(hits: DataFrame, families: Families, race_seconds: float = 30) -
         F.col("event_type"), F.col("referrer_domain"), F.col("source"), F.col("medium"),
         F.col("campaign"), families)
     rows = t.done().withColumn("_entry", entry)
+    if t.hot:
+        rows = work_table(rows)
     opened = keep_spaced(
         rows.where("_entry"), ["user_key"], "timestamp", "id", race_seconds, hot=t.hot)
     opens = opened.where(F.col("kept_id") == F.col("id")).select("id", F.lit(True).alias("is_new"))
