@@ -535,3 +535,14 @@ def form_fills_between(fills: DataFrame, start: Moment, end: Moment) -> DataFram
 def max_id(df: DataFrame) -> DataFrame:
     """Cursor for the next poll of the live feed."""
     return df.agg(F.max("id").alias("last_id"))
+
+
+def crawler_catalogue(visits: DataFrame) -> DataFrame:
+    """Named crawlers with their company and confidence, and how often each one came."""
+    from webjourney.config import CRAWLERS
+
+    known = visits.sparkSession.createDataFrame(
+        [(c.name, c.company, c.confidence) for c in CRAWLERS], "crawler string, company string, confidence double")
+    seen = visits.groupBy(F.col("crawler_type").alias("crawler")).agg(F.count("*").alias("n"))
+    return known.join(seen, "crawler", "left").select(
+        "crawler", "company", "confidence", F.coalesce("n", F.lit(0)).alias("visits"))

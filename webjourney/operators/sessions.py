@@ -227,3 +227,13 @@ def session_attributes(hits: DataFrame) -> DataFrame:
     fields = ["country", "city", "client_side_timezone", "client_side_language"]
     return hits.groupBy("session_id").agg(*[
         F.min_by(c, F.when(F.col(c) != "", order)).alias(c) for c in fields])
+
+
+def latest_sessions(sessions: DataFrame) -> DataFrame:
+    """Session each user would continue: the latest by client, or by address and agent."""
+    by = F.when(F.col("client_id") != "", F.concat(F.lit("cid:"), "client_id")).otherwise(
+        F.concat(F.lit("ipua:"), "ip_address", F.lit(":"), F.substring("user_agent", 1, 500)))
+    # Latest; of several at the same time the lowest id.
+    return sessions.groupBy(by.alias("user_key")).agg(
+        F.min_by(F.struct("id", "last_visit"), F.struct(-F.unix_micros("last_visit"), "id")).alias("s")).select(
+        "user_key", F.col("s.id").alias("session_id"), F.col("s.last_visit").alias("last_visit"))

@@ -383,3 +383,71 @@ def retention(t):
 @query("max_event_id", "SELECT max(id) AS last_id FROM ve")
 def max_event_id(t):
     return r.max_id(t.events)
+
+
+@query("latest_sessions", """
+SELECT CASE WHEN client_id IS NOT NULL THEN 'cid:' || client_id ELSE 'ipua:' || ip || ':' || ua END AS user_key,
+  id AS session_id, last_visit FROM sess
+QUALIFY row_number() OVER (PARTITION BY coalesce('cid:' || client_id, 'ipua:' || ip || ':' || ua) ORDER BY last_visit DESC, id) = 1""")
+def latest_sessions(t):
+    from webjourney.operators.sessions import latest_sessions as latest
+
+    return latest(t.sessions)
+
+
+@query("crawler_catalogue", """
+SELECT c.crawler, company, confidence::DOUBLE AS confidence, coalesce(n, 0) AS visits
+FROM (VALUES ('GPTBot', 'OpenAI', 0.95), ('ChatGPT-User', 'OpenAI', 0.9), ('OpenAI', 'OpenAI', 0.85), ('ClaudeBot', 'Anthropic', 0.95),
+  ('Claude-Web', 'Anthropic', 0.9), ('Anthropic', 'Anthropic', 0.85), ('Google-Extended', 'Google', 0.95), ('GoogleBot', 'Google', 0.8),
+  ('PerplexityBot', 'Perplexity', 0.95), ('Perplexity', 'Perplexity', 0.85), ('BingBot', 'Microsoft', 0.8), ('EdgeGPT', 'Microsoft', 0.85),
+  ('CCBot', 'Common Crawl', 0.75), ('Bytespider', 'ByteDance', 0.7)) c(crawler, company, confidence)
+LEFT JOIN (SELECT crawler_type AS crawler, count(*) AS n FROM visits GROUP BY 1) v USING (crawler)""")
+def crawler_catalogue(t):
+    return r.crawler_catalogue(t.visits)
+
+
+@query("text_profile", r"""
+SELECT doc_id, CASE WHEN ok THEN nullif(regexp_extract(text, '["'']?email["'']?\s*[:=]\s*["'']?([^"'',|\s]+@[^"'',|\s]+)["'']?', 1, 'i'), '') END AS email
+FROM (SELECT doc_id, text, coalesce(text, '') NOT IN ('', 'No info shared') AS ok FROM documents)""", views=False)
+def text_profile(t):
+    email, _ = text.profile_from_text(F.col("text"))
+    return t.read("documents").select("doc_id", email.alias("email"))
+
+
+@query("intake", """
+SELECT id, ts AS timestamp, client_id, ip AS ip_address, event_type, path, domain AS page_domain,
+  nullif(ref_host, '') AS referrer_domain, source, medium, campaign,
+  CASE WHEN data IS NULL THEN '{' ELSE left(data, length(data) - 1) || ',' END
+    || '"tracking_id":' || coalesce('"' || tracking_id || '"', 'null') || ',"source":' || coalesce('"' || source || '"', 'null')
+    || ',"medium":' || coalesce('"' || medium || '"', 'null') || ',"campaign":' || coalesce('"' || campaign || '"', 'null')
+    || ',"crawler_type":' || coalesce('"' || crawler || '"', 'null') || ',"is_bot":' || (crawler IS NOT NULL)
+    || ',"tracking_method":"javascript"}' AS event_data,
+  tz AS client_side_timezone, lang AS client_side_language
+FROM ve WHERE id % 50 <> 7 AND NOT (event_type = 'form_submit' AND coalesce(data, '') LIKE '%timingsV2%')""")
+def intake(t):
+    from webjourney.streaming.live import enrich_intake
+
+    # The log as the collector received it; every fiftieth hit lost its type on the way.
+    raw = t.events.selectExpr(
+        "id", "timestamp AS received_at", "IF(id % 50 = 7, NULL, event_type) AS event_type", "page_url", "referrer",
+        "event_data AS data", "visit_id", "client_id AS cid", "tracking_id", "user_agent",
+        "map('timezone', client_side_timezone, 'language', client_side_language) AS client_side_data",
+        "IF(id % 3 = 0, ip_address || ', 10.9.9.9', NULL) AS x_forwarded_for",
+        "IF(id % 3 = 1, ' ' || ip_address, NULL) AS x_real_ip",
+        "IF(id % 3 = 2, 'by=x;for=\"' || ip_address || ':80\"', NULL) AS forwarded", "'192.0.2.1' AS peer")
+    return enrich_intake(raw).select(
+        "id", "timestamp", "client_id", "ip_address", "event_type", "path", "page_domain", "referrer_domain",
+        "source", "medium", "campaign", "event_data", "client_side_timezone", "client_side_language")
+
+
+@query("refresh_summaries", """
+SELECT client_id, email, name, captured_at, form_data_shared FROM w_l""", *_W)
+def refresh_summaries(t):
+    # All three summaries refreshed from empty for every client with a form; the leads are shown.
+    wide = s.client_summaries(t.visits, t.events)
+    none = F.lit(False)
+    current = {"journeys": s.journeys(wide).where(none), "leads": s.leads(wide).where(none),
+               "form_fills": s.form_fills(t.events).where(none)}
+    clients = s.real_forms(t.events).select("client_id").distinct()
+    return s.refresh(t.visits, t.events, current, clients)["leads"].select(
+        "client_id", "email", "name", "captured_at", "form_data_shared")
