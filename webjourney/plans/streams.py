@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from webjourney.operators.ordered import work_dir
 from webjourney.plans.registry import query
 from webjourney.plans.sessions import _LIVE, SPACING, _spaced
+from webjourney.plans.summaries import _W
 from webjourney.sources import weblog
 from webjourney.sources.weblog import FAMILIES
 from webjourney.streaming import live
@@ -69,17 +70,60 @@ def stream_event_visit_link(t):
     return t.spark.read.parquet(f"{root}/out").drop("batch")
 
 
-@query("stream_hourly_events")
+# A window is emitted once the watermark, ten minutes behind the latest row, has passed its end.
+_CLOSED = "date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM {0}) - INTERVAL 10 MINUTE"
+
+
+@query("stream_hourly_events", f"""
+SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS count FROM ve
+WHERE {_CLOSED.format('ve')} GROUP BY 1, 2""")
 def stream_hourly_events(t):
-    # The last windows stay open until later rows arrive, so this has no equal SQL.
     return _run(t, live.windowed_counts(_events(t), ["event_type"]))
 
 
-@query("stream_threshold_alerts")
+@query("stream_threshold_alerts", f"""
+SELECT date_trunc('hour', ts) AS window_start, count(*) AS count FROM visits
+WHERE {_CLOSED.format('visits')} GROUP BY 1 HAVING count(*) > 5""")
 def stream_threshold_alerts(t):
     return _run(t, live.threshold_alerts(_visits(t), "1 hour", 5))
 
 
+@query("stream_engagement", """
+SELECT date_trunc('day', ts)::TIMESTAMP AS day, session_id, page_url, count(*) AS beats, NULL::BIGINT AS time_on_page_ms,
+  NULL::BIGINT AS max_idle_ms, 0::BIGINT AS engaged_beats FROM ve WHERE event_type = 'heartbeat'
+  AND date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM ve WHERE event_type = 'heartbeat') - INTERVAL 10 MINUTE
+GROUP BY 1, 2, 3""")
+def stream_engagement(t):
+    return _run(t, live.engagement(_events(t)))
+
+
+@query("stream_intake", """
+SELECT id, ts AS timestamp, client_id, event_type, path, domain AS page_domain, source, medium, campaign
+FROM ve WHERE NOT (event_type = 'form_submit' AND coalesce(data, '') LIKE '%timingsV2%')""")
+def stream_intake(t):
+    raw = _events(t).selectExpr(
+        "id", "timestamp AS received_at", "event_type", "page_url", "referrer", "event_data AS data", "visit_id",
+        "client_id AS cid", "tracking_id", "user_agent", "map('timezone', client_side_timezone) AS client_side_data",
+        "string(NULL) AS x_forwarded_for", "ip_address AS x_real_ip", "string(NULL) AS forwarded", "'192.0.2.1' AS peer")
+    return _run(t, live.enrich_intake(raw)).select(
+        "id", "timestamp", "client_id", "event_type", "path", "page_domain", "source", "medium", "campaign")
+
+
+@query("stream_first_page_views", """
+SELECT id, session_id, page_url FROM ve WHERE event_type = 'page_view'
+QUALIFY row_number() OVER (PARTITION BY session_id, page_url ORDER BY ts, id) = 1""")
+def stream_first_page_views(t):
+    return _run(t, live.first_page_views(_events(t), "40 days")).select("id", "session_id", "page_url")
+
+
+@query("stream_summaries", "SELECT * FROM w_j", *_W)
+def stream_summaries(t):
+    root = work_dir(t.spark)
+    handle = live.summary_batch(lambda: t.visits, lambda: t.events, root)
+    live.each_batch(_events(t), handle, f"{root}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{root}/journeys/v0")
+
+
 @query("stream_latest_events", """
 SELECT id, ts AS timestamp, event_type, page_url, path, referrer, client_id, session_id, source, medium, campaign,
   data AS event_data, domain AS page_domain, nullif(ref_host, '') AS referrer_domain
