@@ -13,7 +13,7 @@ from webjourney.functions import forms
 from webjourney.functions.journeys import uid
 from webjourney.functions.predicates import Moment, has_prefix, in_range, seconds_between
 from webjourney.functions.text import or_else
-from webjourney.operators.ordered import may_have_hot_key, ordered_join
+from webjourney.operators.ordered import may_have_hot_key, ordered_summary
 
 
 def _step_rows(
@@ -136,12 +136,14 @@ def funnel_timing(
     return reduce(DataFrame.unionByName, out)
 
 
-def _touches(visits: DataFrame) -> DataFrame:
-    """First and last visit per client (lowest / highest id on equal times)."""
+_TOUCHED = ("source", "medium", "campaign", "page_url", "referrer")
+
+
+def _touch_columns() -> list[Column]:
+    """First and last visit (lowest / highest id on equal times)."""
     order = F.struct("timestamp", "id")
-    return visits.groupBy("client_id").agg(
-        F.min_by(F.struct("timestamp", "source", "medium", "campaign", "page_url", "referrer"), order).alias("a"),
-        F.max_by(F.struct("timestamp", "page_url"), order).alias("z"))
+    return [F.min_by(F.struct("timestamp", *_TOUCHED), order).alias("a"),
+            F.max_by(F.struct("timestamp", "page_url"), order).alias("z")]
 
 
 def funnel_dropoffs(
@@ -159,7 +161,7 @@ def funnel_dropoffs(
     lost = times.where(F.col(f"f0_s{step}").isNotNull() & F.col(f"f0_s{step + 1}").isNull()).select(
         F.col("key").alias("client_id"))
     # Touches are needed for the lost clients only; the semi join trims before aggregating.
-    touched = _touches(visits.where(known).join(lost, "client_id", "left_semi"))
+    touched = visits.where(known).join(lost, "client_id", "left_semi").groupBy("client_id").agg(*_touch_columns())
     return touched.select(
         "client_id", F.col("a.timestamp").alias("first_seen"), F.col("z.timestamp").alias("last_seen"),
         or_else(F.col("a.source"), "direct").alias("source"),
@@ -182,9 +184,9 @@ def funnel_stage_users(
         F.col("key").alias("client_id"), F.col(f"f0_s{step}").alias("stage_reached_at"))
 
     in_stage = in_range(v, start, end).join(stage.select("client_id"), "client_id", "left_semi")
-    touched = _touches(in_stage)
-    paths = ordered_join(in_stage.where(F.col("path") != ""), ["client_id"], ["timestamp", "id"],
-                         F.col("path"), " → ", "path_sequence", may_have_hot_key(visits))
+    walked = ordered_summary(
+        in_stage.select("client_id", "timestamp", "id", "path", *_TOUCHED), ["client_id"], ["timestamp", "id"],
+        F.when(F.col("path") != "", F.col("path")), " → ", "path_sequence", _touch_columns(), may_have_hot_key(visits))
     # Latest form of the client, whatever it contains and whenever it was sent.
     forms_of = e.where(F.col("event_type") == "form_submit").groupBy("client_id").agg(
         F.max_by(F.struct("event_data", "page_url", "timestamp"), F.struct("timestamp", "id")).alias("f"))
@@ -193,7 +195,7 @@ def funnel_stage_users(
     contact = forms.loose_profile(data)
     first, last = F.col("a"), F.col("z")
     return (
-        stage.join(touched, "client_id").join(paths, "client_id", "left").join(forms_of, "client_id", "left")
+        stage.join(walked, "client_id").join(forms_of, "client_id", "left")
         .select(
             "client_id", "stage_reached_at",
             first["timestamp"].alias("first_seen"), last["timestamp"].alias("last_seen"),

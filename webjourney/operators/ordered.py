@@ -137,6 +137,12 @@ class Timeline:
         return self.df.drop(_SLICE)
 
 
+def _joined(item: Column, sep: str) -> Column:
+    """The texts of the collected items in order, NULL when there are none."""
+    texts = F.transform(F.sort_array(F.collect_list(item)), lambda e: e["_t"])
+    return F.when(F.count(item) > 0, F.array_join(texts, sep))
+
+
 def ordered_join(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], text: Column, sep: str, name: str,
     hot: bool | None = None,
@@ -147,15 +153,24 @@ def ordered_join(
     finished slice texts meet in the one cell that is the result.
     """
     timeline = Timeline(df.withColumn("_t", text).where(F.col("_t").isNotNull()), keys, order, hot)
-
-    def joined(c: Column) -> Column:
-        return F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda e: e["_t"]), sep)
-
     item = F.struct(*order, "_t")
     if not timeline.hot:
-        return timeline.df.groupBy(*keys).agg(joined(item).alias(name))
-    parts = timeline.df.groupBy(*keys, _SLICE).agg(joined(item).alias("_t"))
-    return parts.groupBy(*keys).agg(joined(F.struct(_SLICE, "_t")).alias(name))
+        return timeline.df.groupBy(*keys).agg(_joined(item, sep).alias(name))
+    parts = timeline.df.groupBy(*keys, _SLICE).agg(_joined(item, sep).alias("_t"))
+    return parts.groupBy(*keys).agg(_joined(F.struct(_SLICE, "_t"), sep).alias(name))
+
+
+def ordered_summary(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], text: Column, sep: str, name: str,
+    aggregates: Sequence[Column], hot: bool,
+) -> DataFrame:
+    """``aggregates`` per key together with the ordered text: one pass unless a key is hot."""
+    if hot:
+        df = work_table(df)
+        return df.groupBy(*keys).agg(*aggregates).join(
+            ordered_join(df, keys, order, text, sep, name, hot), list(keys), "left")
+    item = F.when(text.isNotNull(), F.struct(*order, text.alias("_t")))
+    return df.groupBy(*keys).agg(*aggregates, _joined(item, sep).alias(name))
 
 
 def running_counts(

@@ -9,7 +9,7 @@ from webjourney.functions import forms, url
 from webjourney.functions.journeys import uid
 from webjourney.functions.predicates import Moment, days_before, hits_target, micros, seconds_between
 from webjourney.functions.text import first_email
-from webjourney.operators.ordered import Timeline, may_have_hot_key, ordered_join, running_counts, work_table
+from webjourney.operators.ordered import Timeline, may_have_hot_key, ordered_join, ordered_summary, running_counts, work_table
 
 ARROW = " → "
 
@@ -38,12 +38,12 @@ def path_analysis(visits: DataFrame, events: DataFrame, target: str, as_of: Mome
     # Every conversion is a visit, so the first touch lies among the visits up to it.
     journey = v.join(converters.select("uid", "conversion_at"), "uid").where(
         F.col("timestamp") <= F.col("conversion_at"))
-    touch = journey.groupBy("uid").agg(
-        F.min_by(F.struct("referrer", "source", "medium", "timestamp"), order).alias("ft"))
     t = Timeline(journey, ["uid"], ["timestamp", "id"], may_have_hot_key(visits)).previous("_prev", F.struct("path"))
-    steps = t.done().where(F.col("_prev").isNull() | ~F.coalesce(
-        F.col("_prev.path") == F.col("path"), F.lit(False)))
-    paths = ordered_join(steps, ["uid"], ["timestamp", "id"], F.col("path"), ARROW, "journey_to_conversion", t.hot)
+    repeated = F.coalesce(F.col("_prev.path") == F.col("path"), F.lit(False))
+    # Same key as the window, so the aggregation needs no shuffle of its own.
+    walked = ordered_summary(
+        t.done(), ["uid"], ["timestamp", "id"], F.when(~repeated, F.col("path")), ARROW, "journey_to_conversion",
+        [F.min_by(F.struct("referrer", "source", "medium", "timestamp"), order).alias("ft")], t.hot)
 
     sent = events.where(recent & (F.col("event_type") == "form_submit")
                         & forms.passes_noise_filter(F.col("event_data")))
@@ -54,7 +54,7 @@ def path_analysis(visits: DataFrame, events: DataFrame, target: str, as_of: Mome
         F.sort_array(F.collect_set("_t")).alias("_f"))
     form_text = F.when(F.size("_f") > 0, F.array_join("_f", " | "))
     return (
-        converters.join(touch, "uid").join(paths, "uid", "left").join(shared, "uid", "left").select(
+        converters.join(walked, "uid").join(shared, "uid", "left").select(
             F.col("uid").alias("unique_user_key"),
             F.coalesce("_p._params", form_text, F.lit("No info shared")).alias("form_data_shared"),
             "journey_to_conversion", F.col("ft.referrer").alias("original_referrer"),
@@ -90,27 +90,30 @@ def stitch_visits(visits: DataFrame, clients: DataFrame, hours: float = 24) -> D
     visits, and only foreign visits near a visit of the client become candidates.
     """
     window = int(hours * 3_600_000_000)
-    keys = ["ip_address", "user_agent", "unified_client_id"]
+    keys = ["fp", "unified_client_id"]
     near = F.floor(micros(F.col("timestamp")) / window)
-    v = visits.select("client_id", "ip_address", "user_agent", *_CARRIED)
-    own = v.join(clients.select("client_id"), "client_id", "left_semi").withColumn(
-        "unified_client_id", F.col("client_id"))
-    targets = own.select(*keys, "timestamp")
+    # A digest of address and agent keeps the counted rows narrow; a missing part matches nothing.
+    narrow = visits.where(F.col("ip_address").isNotNull() & F.col("user_agent").isNotNull()).select(
+        "id", "client_id", "timestamp", F.md5(F.concat_ws("|", "ip_address", "user_agent")).alias("fp"))
+    targets = narrow.join(clients.select("client_id"), "client_id", "left_semi").select(
+        "fp", F.col("client_id").alias("unified_client_id"), "timestamp")
     spots = targets.select(*keys, F.explode(F.array(near, near - 1)).alias("_near")).distinct()
-    candidates = v.withColumn("_near", near).join(spots, ["ip_address", "user_agent", "_near"]).where(
+    candidates = narrow.withColumn("_near", near).join(spots, ["fp", "_near"]).where(
         ~F.col("client_id").eqNullSafe(F.col("unified_client_id")))
-    body = F.struct(*_CARRIED).alias("_visit")
-    up_to = candidates.select(
-        *keys, F.timestamp_micros(micros(F.col("timestamp")) + window).alias("at"),
-        F.lit(True).alias("inclusive"), F.lit(1).alias("_sign"), body)
-    before = candidates.select(
-        *keys, F.col("timestamp").alias("at"), F.lit(False).alias("inclusive"), F.lit(-1).alias("_sign"), body)
+    # Counts up to the end of the window minus counts before its start.
+    probes = candidates.select(*keys, "id", F.explode(F.array(
+        F.struct(F.timestamp_micros(micros(F.col("timestamp")) + window).alias("at"),
+                 F.lit(True).alias("inclusive"), F.lit(1).alias("sign")),
+        F.struct(F.col("timestamp").alias("at"), F.lit(False).alias("inclusive"), F.lit(-1).alias("sign")),
+    )).alias("_p")).select(*keys, "id", "_p.*")
     counted = running_counts(
-        targets.withColumnRenamed("timestamp", "at"), up_to.unionByName(before), keys, may_have_hot_key(visits))
-    foreign = counted.groupBy("unified_client_id", "_visit.id").agg(
-        F.sum(F.col("n") * F.col("_sign")).alias("times"), F.any_value("_visit").alias("_visit")).where(
-        F.col("times") > 0).select("unified_client_id", "times", *[F.col(f"_visit.{c}").alias(c) for c in _CARRIED])
-    return own.select("unified_client_id", F.lit(1).cast("bigint").alias("times"), *_CARRIED).unionByName(foreign)
+        targets.withColumnRenamed("timestamp", "at"), probes, keys, may_have_hot_key(visits))
+    times = counted.groupBy("unified_client_id", "id").agg(
+        F.sum(F.col("n") * F.col("sign")).alias("times")).where(F.col("times") > 0)
+    shown = visits.select(*_CARRIED)
+    own = visits.join(clients.select("client_id"), "client_id", "left_semi").select(
+        F.col("client_id").alias("unified_client_id"), F.lit(1).cast("bigint").alias("times"), *_CARRIED)
+    return own.unionByName(times.join(shown, "id").select("unified_client_id", "times", *_CARRIED))
 
 
 def _repeated(text: Column, sep: str) -> Column:
@@ -125,22 +128,22 @@ def stitched_funnel(
     order = F.struct("timestamp", "id")
     done = completers(visits, first_target, last_target)
     hot = may_have_hot_key(visits)
-    # Read three times below, and costly to derive.
+    # Read more than once below, and costly to derive.
     related = work_table(stitch_visits(visits, done, hours))
     tags = ("utm_source", "utm_medium", "utm_campaign", "d", "tid")
     at_first, at_last = (hits_target(F.col("path"), p) for p in (first_target, last_target))
     facts = related.withColumn("_p1", F.when(at_first, url.render_params("page_url", drop=(*tags, "ref")))).withColumn(
         "_p2", F.when(at_last, url.render_params("page_url", drop=tags)))
-    touch = facts.groupBy("unified_client_id").agg(
-        F.min_by(F.struct("referrer", "source", "medium", "timestamp"), order).alias("ft"),
-        F.sort_array(F.collect_set("_p1")).alias("_p1"), F.sort_array(F.collect_set("_p2")).alias("_p2"))
-
-    until = related.join(done.select(F.col("client_id").alias("unified_client_id"), "completed_at"),
-                         "unified_client_id").where(F.col("timestamp") <= F.col("completed_at"))
+    base = done.withColumnRenamed("client_id", "unified_client_id")
+    facts = facts.join(base.select("unified_client_id", "completed_at"), "unified_client_id")
     item = F.concat(F.col("path"), F.lit(" ("), F.col("page_domain"), F.lit(")"))
+    shown = item.isNotNull() & (F.col("timestamp") <= F.col("completed_at"))
     # Equal rows stand next to each other, so a visit repeats its own text.
-    paths = ordered_join(until, ["unified_client_id"], ["timestamp", "id"], F.when(
-        item.isNotNull(), _repeated(item, ARROW)), ARROW, "full_journey_path", hot)
+    walked = ordered_summary(
+        facts, ["unified_client_id"], ["timestamp", "id"], F.when(shown, _repeated(item, ARROW)), ARROW,
+        "full_journey_path", [
+            F.min_by(F.struct("referrer", "source", "medium", "timestamp"), order).alias("ft"),
+            F.sort_array(F.collect_set("_p1")).alias("_p1"), F.sort_array(F.collect_set("_p2")).alias("_p2")], hot)
 
     sent = events.where(F.col("event_type").isin("form_submit", "custom", "click", "form_start")
                         & F.col("event_data").isNotNull() & F.col("visit_id").isNotNull()).select(
@@ -155,8 +158,7 @@ def stitched_funnel(
         return out.select("unified_client_id", F.concat(F.lit("["), F.col("_j"), F.lit("]")).alias(name))
 
     params = lambda c: F.when(F.size(c) > 0, F.array_join(c, " || "))
-    base = done.withColumnRenamed("client_id", "unified_client_id")
-    out = base.join(touch, "unified_client_id", "left").join(paths, "unified_client_id", "left").join(
+    out = base.join(walked, "unified_client_id", "left").join(
         collected(first_target, "_f1"), "unified_client_id", "left").join(
         collected(last_target, "_f2"), "unified_client_id", "left")
     return out.select(
