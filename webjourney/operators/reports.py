@@ -49,11 +49,16 @@ def conversion_rate(
     visits: DataFrame, events: DataFrame, start: Moment | None = None, end: Moment | None = None
 ) -> DataFrame:
     """Distinct visitors, distinct visitors with a form submit, and their ratio in percent."""
-    seen = in_range(visits, start, end).agg(F.countDistinct(uid()).alias("unique_visitors"))
-    submits = in_range(events, start, end).where(F.col("event_type") == "form_submit")
-    converted = submits.agg(F.countDistinct(uid()).alias("conversions"))
-    # Two one-row frames.
-    return seen.crossJoin(F.broadcast(converted)).withColumn(
+    who = uid().alias("uid")
+    seen = in_range(visits, start, end).select(who, F.lit(0).alias("converted"))
+    submits = in_range(events, start, end).where(F.col("event_type") == "form_submit").select(
+        who, F.lit(1).alias("converted"))
+    # One row per visitor first, so both distinct counts come from a single shuffle.
+    per_user = seen.unionByName(submits).where(F.col("uid").isNotNull()).groupBy("uid").agg(
+        (F.min("converted") == 0).alias("seen"), (F.max("converted") == 1).alias("converted"))
+    return per_user.agg(
+        F.count(F.when(F.col("seen"), 1)).alias("unique_visitors"),
+        F.count(F.when(F.col("converted"), 1)).alias("conversions")).withColumn(
         "conversion_rate", _rate(F.col("conversions"), F.col("unique_visitors")))
 
 

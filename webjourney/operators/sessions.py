@@ -134,7 +134,7 @@ def rebuild_stats(visits: DataFrame, events: DataFrame, sessions: DataFrame, fam
         F.countDistinct("new_session_id").alias("sessions_after"),
         F.count(F.when(moved & (F.col("rank") == 0), 1)).alias("visits_moved"),
         F.count(F.when(moved & (F.col("rank") == 1), 1)).alias("events_moved"))
-    return plan.crossJoin(F.broadcast(sessions.agg(F.count("*").alias("sessions_before"))))
+    return plan.select("*", sessions.agg(F.count("*")).scalar().alias("sessions_before"))
 
 
 def assign_live(hits: DataFrame, families: Families, race_seconds: float = 30) -> DataFrame:
