@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webjourney.llm import bestfit, bpe_transducer, chat, token_store
+from webjourney.llm import bestfit, bpe_transducer, chat, line_dedup, quality, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,58 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(planted)
     return chat.digests(chat.format_turns(chat.fold(chat.whole_rows(rows))))
+
+
+LINE_SITES = 10
+
+
+@query("op5_line_dedup", rf"""
+WITH lines AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+flagged AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS has_word FROM lines),
+spread AS (SELECT line FROM flagged WHERE has_word GROUP BY line HAVING count(DISTINCT source) >= {LINE_SITES})
+SELECT doc_id, count(*) FILTER (WHERE has_word) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+       coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text
+FROM (SELECT f.*, f.has_word AND s.line IS NOT NULL AS gone FROM flagged f LEFT JOIN spread s USING (line))
+GROUP BY doc_id
+UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return line_dedup.clean(docs, min_sites=LINE_SITES).select(
+        "doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), "text")
+
+
+QUALITY_SQL = rf"""
+base AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+counted AS (
+  SELECT *, len(words) AS n_words, array_to_string(words, '') AS joined,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM base),
+windows AS (
+  SELECT doc_id, unnest(range(1, n_words - 6)) AS pos,
+         unnest(list_transform(range(1, n_words - 6), lambda i: array_to_string(words[i:i + 7], ' '))) AS w
+  FROM counted WHERE n_words >= 8),
+again AS (SELECT doc_id, pos FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, w) > 1),
+repeats AS (
+  SELECT doc_id, sum(least(8, coalesce(nxt - pos, 8))) AS n FROM (
+    SELECT doc_id, pos, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM again) GROUP BY doc_id),
+measured AS (
+  SELECT doc_id, text, words, joined, CAST(n_words AS BIGINT) AS n_words, length(joined) AS word_chars,
+         length(joined) - length(regexp_replace(joined, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+  FROM counted LEFT JOIN repeats r USING (doc_id)),
+judged AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+         {quality.RULES_SQL} AS rejected FROM measured)"""
+
+
+@query("op9_quality_rules", f"""
+WITH {QUALITY_SQL}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT rejected AS kept FROM judged""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
