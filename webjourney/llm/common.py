@@ -112,7 +112,7 @@ def in_blocks(df: DataFrame, cell: str, by: str, rows: int) -> DataFrame:
     A cell of over ``rows`` rows is cut into blocks by a hash of ``by``; every pair of blocks is a task of its
     own. Adds ``lo`` and ``hi`` (the pair of blocks) and ``block`` (the row's own); a row comes once for every pair
     that its block belongs to. Two rows of a cell meet in exactly one task, so no task holds more than about
-    ``2 * rows`` rows and no pair is a row of any table.
+    ``2 * rows`` rows and no pair is a row of any table. ``df`` should be narrow; wide columns are joined afterwards.
     """
     sizes = df.groupBy(cell).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
     blocks = F.ceil(F.col("__n") / rows).cast("int")
@@ -126,6 +126,21 @@ def in_blocks(df: DataFrame, cell: str, by: str, rows: int) -> DataFrame:
     )
 
 
+def by_task(df: DataFrame, cell: str, by: str) -> DataFrame:
+    """Rows of ``in_blocks`` dealt by task and sorted, for ``tasks`` below."""
+    return df.repartition(cell, "lo", "hi").sortWithinPartitions(cell, "lo", "hi", "block", by)
+
+
+def tasks(batches: Iterator[pa.RecordBatch], cell: str, rows: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Tables of whole tasks with the positions of all pairs to compare, the first position in the lower block."""
+    for table in whole_groups(batches, [cell, "lo", "hi"], rows):
+        starts = group_starts(table, [cell, "lo", "hi"])
+        lo, hi, block = (table.column(c).to_numpy() for c in ("lo", "hi", "block"))
+        left, right = pairs_within(starts, table.num_rows)
+        apart = (lo[left] != hi[left]) & (block[left] == block[right])
+        yield table, left[~apart], right[~apart]
+
+
 def pairs_within(starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions i < j of all pairs inside runs that begin at ``starts``; ``n`` rows in all."""
     ends = np.append(starts[1:], n)

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webjourney.llm import bestfit, bpe_transducer, chat, line_dedup, quality, token_store
+from webjourney.llm import (
+    bestfit, bpe_transducer, chat, embed_dedup, line_dedup, ngram_join, quality, token_store)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -128,3 +129,39 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op3_ngram_join", r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(words) >= 5 THEN list_sort(list_distinct(list_transform(
+           range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))))
+         WHEN len(words) > 0 THEN [array_to_string(words, ' ')] END AS grams FROM w),
+c AS (SELECT grams, min(doc_id) AS rep, len(grams) AS n FROM s WHERE grams IS NOT NULL GROUP BY grams),
+x AS (SELECT rep, n, unnest(grams) AS g FROM c),
+p AS (SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.g = b.g AND a.rep < b.rep
+      GROUP BY a.rep, b.rep, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(id, reached) AS (SELECT rep, rep FROM c UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.reached),
+g AS (SELECT id, min(reached) AS group_id FROM r GROUP BY id),
+l AS (SELECT a AS id, count(*) AS n FROM e GROUP BY a)
+SELECT s.doc_id, coalesce(c.rep, s.doc_id) AS class_id, coalesce(l.n, 0) AS n_links,
+       coalesce(g.group_id, s.doc_id) AS group_id, coalesce(g.group_id, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN c USING (grams) LEFT JOIN g ON g.id = c.rep LEFT JOIN l ON l.id = c.rep""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op6_embedding_dedup", """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r(id, reached) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.reached),
+c AS (SELECT id, min(reached) AS component_id FROM r GROUP BY id),
+n AS (SELECT a AS id, count(*) AS n FROM l GROUP BY a)
+SELECT c.id AS vec_id, coalesce(n.n, 0) AS n_links, component_id, component_id = c.id AS kept
+FROM c LEFT JOIN n USING (id)""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
