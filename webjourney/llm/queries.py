@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webjourney.llm import (
-    bestfit, bpe_transducer, chat, embed_dedup, line_dedup, ngram_join, quality, token_store)
+    bestfit, bpe_transducer, chat, embed_dedup, line_dedup, maxent_lm, ngram_join, quality,
+    token_store)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -165,3 +166,9 @@ SELECT c.id AS vec_id, coalesce(n.n, 0) AS n_links, component_id, component_id =
 FROM c LEFT JOIN n USING (id)""")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op2_maxent_lm")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score(table(spark, sf_dir, "documents")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
