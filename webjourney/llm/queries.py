@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from webjourney.llm import (
     bestfit, bpe_transducer, chat, embed_dedup, line_dedup, maxent_lm, ngram_join, quality,
-    token_store)
+    secret_scan, token_store)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -172,3 +172,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent_lm.score(table(spark, sf_dir, "documents")).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op10_secret_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
