@@ -98,7 +98,7 @@ def min_values(sets: list[np.ndarray]) -> np.ndarray:
 
 def band_cells(values: np.ndarray) -> np.ndarray:
     """A 64-bit name of what each band holds, different for each band."""
-    bands = values.reshape(len(values), -1, BAND).astype(np.uint64)
+    bands = values.reshape(len(values), VALUES // BAND, BAND).astype(np.uint64)
     cells = np.broadcast_to(np.arange(1, bands.shape[1] + 1, dtype=np.uint64), bands.shape[:2]).copy()
     with np.errstate(over="ignore"):
         for k in range(BAND):

@@ -81,10 +81,11 @@ def made_findings(docs: DataFrame, most_docs: int = 1000) -> DataFrame:
     Secrets are keys in issuers' formats or random strings given to a name such as token; the others are paths,
     addresses, identifiers, numbers, dates, checksums and placeholders.
     """
-    some = docs.select("doc_id", "text").where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
     words = F.filter(F.split(F.lower("text"), r"[^a-z]+"), lambda w: F.length(w) >= 4)
-    rows = some.select(F.slice(F.concat(words, F.array(*map(F.lit, ("some", "more", "words", "here")))), 1, 4).alias("w"),
-                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    # Only four words and a digest of each text go into the sort.
+    rows = docs.where("text is not null").select(
+        "doc_id", F.slice(F.concat(words, F.array(*map(F.lit, ("some", "more", "words", "here")))), 1, 4).alias("w"),
+        F.sha2("text", 256).alias("h")).orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(most_docs)
     rows = rows.select(*[F.get("w", F.lit(i)).alias(x) for i, x in enumerate("abcd")], "h",
                        F.base64(F.unhex("h")).alias("b64"))
     rows = rows.withColumn("alnum", F.regexp_replace("b64", r"[+/=]", "x")).withColumn(
