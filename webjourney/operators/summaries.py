@@ -138,8 +138,8 @@ def refresh(
     }
 
 
-def unreconciled(journey_rows: DataFrame, lead_rows: DataFrame, limit: int | None = 500) -> DataFrame:
-    """Clients with captured data and no lead."""
+def unreconciled(journey_rows: DataFrame, lead_rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """Clients with captured data and no lead: all of them, or the first ``limit`` by id."""
     missing = journey_rows.where(F.col("has_captured_data") == 1).join(
         lead_rows.select("client_id"), "client_id", "left_anti").select("client_id")
     return missing if limit is None else missing.orderBy("client_id").limit(limit)

@@ -119,8 +119,7 @@ def top_journeys(t):
 
 
 @query("reconcile_leads", """
-SELECT client_id FROM w_j WHERE client_id NOT IN (SELECT client_id FROM w_l WHERE email IS NOT NULL)
-ORDER BY client_id LIMIT 500""", *_W)
+SELECT client_id FROM w_j WHERE client_id NOT IN (SELECT client_id FROM w_l WHERE email IS NOT NULL)""", *_W)
 def reconcile_leads(t):
     # Leads without an address stand for the missing ones.
     wide = _wide_rows(t)
