@@ -106,7 +106,7 @@ def leads(wide: DataFrame) -> DataFrame:
         "client_id", "email", "name", form["timestamp"].alias("captured_at"),
         form["page_url"].alias("captured_page"), form["path"].alias("captured_path"),
         forms.render_values(form["event_data"]).alias("form_data_shared"),
-        F.substring(forms.values_object(form["event_data"]), 1, 5000).alias("captured_data"),
+        forms.values_object(form["event_data"]).alias("captured_data"),
         first["source"].alias("source"), first["medium"].alias("medium"), first["campaign"].alias("campaign"),
         first["referrer"].alias("first_referrer"),
         url.referrer_domain(first["referrer"]).alias("first_referrer_domain"),

@@ -46,7 +46,7 @@ def _wide(name: str, forms: str, visits: str, profile: str = "best") -> str:
   FROM {name}_f f LEFT JOIN {name}_v v USING (client_id)),
 {name}_l AS (
   SELECT f.client_id, email, name, f.ff.ts AS captured_at, f.ff.page_url AS captured_page, f.ff.path AS captured_path,
-    nullif(f.ff.r, '') AS form_data_shared, left(f.ff.fv, 5000) AS captured_data, v.fv.source AS source,
+    nullif(f.ff.r, '') AS form_data_shared, f.ff.fv AS captured_data, v.fv.source AS source,
     v.fv.medium AS medium, v.fv.campaign AS campaign, v.fv.referrer AS first_referrer,
     nullif(v.fv.ref_host, '') AS first_referrer_domain, least(v.a, f.a) AS first_seen, greatest(v.b, f.b) AS last_seen
   FROM {name}_f f LEFT JOIN {name}_v v USING (client_id))"""
