@@ -260,7 +260,7 @@ def ipv4_number(ip: Column) -> Column:
 
 
 def is_private_ip(ip: Column) -> Column:
-    """Addresses that the registries of special-purpose blocks mark as not globally reachable."""
+    """Loopback, link-local and private addresses, and the other reserved IPv4 blocks."""
     n = ipv4_number(ip)
     base = lambda a, b=0, c=0, d=0: (a << 24) + (b << 16) + (c << 8) + d
     v4 = (
@@ -269,10 +269,9 @@ def is_private_ip(ip: Column) -> Column:
         | n.between(base(169, 254), base(169, 254, 255, 255)) | n.between(base(0), base(0, 255, 255, 255))
         | n.between(base(192, 0, 0), base(192, 0, 0, 255)) | n.between(base(192, 0, 2), base(192, 0, 2, 255))
         | n.between(base(198, 18), base(198, 19, 255, 255)) | n.between(base(198, 51, 100), base(198, 51, 100, 255))
-        | n.between(base(203, 0, 113), base(203, 0, 113, 255)) | (n >= base(240)))
+        | n.between(base(203, 0, 113), base(203, 0, 113, 255)) | n.between(base(240), base(255, 255, 255, 255)))
     low = F.lower(ip)
-    v6 = ((low == "::1") | low.rlike("^(fc|fd)[0-9a-f]{2}:") | low.rlike("^fe[89ab][0-9a-f]:")
-          | low.rlike("^2001:0?db8:") | low.startswith("::ffff:"))
+    v6 = (low == "::1") | low.rlike("^(fc|fd)[0-9a-f]{2}:") | low.rlike("^fe[89ab][0-9a-f]:")
     return F.coalesce(v4, F.lit(False)) | F.coalesce(v6, F.lit(False))
 
 
