@@ -32,22 +32,40 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Ids of one piece; ``ranks`` gives each token's id, which is also the order of merges."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 200_000, most_pairs: int = 1_000_000):
         self.ranks = ranks
         self.text = {i: t for t, i in ranks.items()}
-        self.most_states = most_states
-        self.beginnings = {t[:n] for t in ranks for n in range(1, len(t))}
+        self.most_states, self.most_pairs = most_states, most_pairs
         self.side_by_side: dict[tuple[int, int], bool] = {}
         self.own: dict[int, bool] = {}
+        self._plant()
         self._reset()
 
+    def _plant(self) -> None:
+        """The tokens as a tree of bytes: child by (node, byte), the token that ends at a node (-1: none)."""
+        self.child: dict[int, int] = {}
+        self.token, self.inner = [-1], [False]
+        for text, rank in self.ranks.items():
+            node = 0
+            for byte in text:
+                self.inner[node] = True
+                key = node << 8 | byte
+                if key not in self.child:
+                    self.child[key] = len(self.token)
+                    self.token.append(-1)
+                    self.inner.append(False)
+                node = self.child[key]
+            self.token[node] = rank
+
     def _reset(self) -> None:
-        # A state: for each place a token may start at, the bytes read since and the tokens not yet emitted; -1 stands
-        # for the start of the piece, else the first token is the last one that was emitted.
-        start = ((b"", (-1,)),)
+        # A state: for each place a token may start at, the node that the bytes read since lead to and the tokens not
+        # yet emitted; -1 stands for the start of the piece, else the first token is the last one that was emitted.
+        start = ((0, (-1,)),)
         self.states, self.numbers = [start], {start: 0}
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.ends: list[tuple[int, ...]] = [()]
+        if len(self.side_by_side) > self.most_pairs:
+            self.side_by_side.clear()
 
     def merge(self, data: bytes) -> list[int]:
         """Plain merging, lowest rank first; used on at most two tokens' bytes when the table is filled."""
@@ -75,29 +93,35 @@ class Transducer:
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         open_places = []
         here = None
-        for read, tokens in self.states[state]:
-            read += bytes([byte])
-            token = self.ranks.get(read)
-            if here is None and token is not None and self.may_follow(tokens[-1], token):
+        for node, tokens in self.states[state]:
+            node = self.child.get(node << 8 | byte)
+            if node is None:
+                continue
+            token = self.token[node]
+            if here is None and token >= 0 and self.may_follow(tokens[-1], token):
                 here = (*tokens, token)
-            if read in self.beginnings:
-                open_places.append((read, tokens))
+            if self.inner[node]:
+                open_places.append((node, tokens))
         if here is None:
             raise ValueError("the vocabulary lacks a byte")
-        open_places.append((b"", here))
-        paths = [tokens for _, tokens in open_places]
-        shared = 0
-        while shared < min(map(len, paths)) and len({p[shared] for p in paths}) == 1:
-            shared += 1
+        open_places.append((0, here))
+        first = open_places[0][1]
+        shared = len(first)  # the first token is the same everywhere
+        for _, tokens in open_places[1:]:
+            if shared == 1:
+                break
+            n, most = 1, min(shared, len(tokens))
+            while n < most and tokens[n] == first[n]:
+                n += 1
+            shared = n
         # The last shared token stays as the left neighbour of what follows.
-        new = tuple((read, tokens[shared - 1:]) for read, tokens in open_places)
+        new = tuple(open_places) if shared == 1 else tuple((node, tokens[shared - 1:]) for node, tokens in open_places)
         number = self.numbers.get(new)
         if number is None:
             number = self.numbers[new] = len(self.states)
             self.states.append(new)
-            self.moves.append({})
             self.ends.append(here[shared:])
-        move = self.moves[state][byte] = (number, paths[0][1:shared])
+        move = self.moves[state << 8 | byte] = (number, first[1:shared])
         return move
 
     def encode(self, piece: bytes) -> list[int]:
@@ -109,10 +133,9 @@ class Transducer:
         state = 0
         moves = self.moves
         for byte in piece:
-            move = moves[state].get(byte) or self._step(state, byte)
-            state = move[0]
-            if move[1]:
-                out += move[1]
+            state, emitted = moves.get(state << 8 | byte) or self._step(state, byte)
+            if emitted:
+                out += emitted
         out += self.ends[state]
         return out
 
