@@ -84,7 +84,7 @@ def test_session_id_and_user_key(spark):
         [("xyz", "1.2.3.4", "Mozilla/5.0"), (None, "1.2.3.4", "Mozilla/5.0"), ("", "1.2.3.4", "M" * 600)],
         "client_id string, ip_address string, user_agent string")
     keys = [r[0] for r in df.select(journeys.user_key()).collect()]
-    assert keys == ["cid:xyz", "ipua:1.2.3.4:Mozilla/5.0", "ipua:1.2.3.4:" + "M" * 500]
+    assert keys == ["cid:xyz", "ipua:1.2.3.4:Mozilla/5.0", "ipua:1.2.3.4:" + "M" * 600]
     got = df.limit(1).select(journeys.session_id(F.lit("cid:xyz"), F.lit(3))).first()[0]
     assert got == hashlib.sha256(b"cid:xyz:journey:3").hexdigest()[:32] and len(got) == 32
 

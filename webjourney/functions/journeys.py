@@ -21,7 +21,7 @@ def uid() -> Column:
 def user_key(
     client_id: Column | None = None, ip: Column | None = None, user_agent: Column | None = None
 ) -> Column:
-    """Visitor id of sessionization: the client, else address and (cut) user agent."""
+    """Visitor id of sessionization: the client, else address and user agent."""
     client_id = F.col("client_id") if client_id is None else client_id
     ip = F.col("ip_address") if ip is None else ip
     user_agent = F.col("user_agent") if user_agent is None else user_agent
@@ -29,7 +29,7 @@ def user_key(
         client_id.isNotNull() & (client_id != ""), F.concat(F.lit("cid:"), client_id)
     ).otherwise(F.concat(
         F.lit("ipua:"), F.coalesce(ip, F.lit("")), F.lit(":"),
-        F.substring(F.coalesce(user_agent, F.lit("")), 1, 500)))
+        F.coalesce(user_agent, F.lit(""))))
 
 
 def session_id(key: Column, seq: Column) -> Column:

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from webjourney.config import Funnel, Step
 from webjourney.functions import forms
@@ -103,37 +104,46 @@ def funnel_summary(
 
 
 def funnel_timing(
-    visits: DataFrame, events: DataFrame, funnel: Funnel, start=None, end=None, max_rows: int = 5000,
+    visits: DataFrame, events: DataFrame, funnel: Funnel, start=None, end=None,
 ) -> DataFrame:
-    """Seconds between adjacent steps of known clients, over the earliest arrivals.
+    """Seconds between adjacent steps of known clients: mean, median and 90th percentile over all arrivals.
 
-    Mean, median and 90th percentile use nearest rank on at most ``max_rows`` values per step
-    pair (the report's own sample size), which is also what bounds the collected array.
+    Percentiles are nearest rank and exact. Arrivals are counted per distinct duration, so what is ranked is no
+    list of arrivals in a cell but a running count over durations.
     """
     known = F.col("client_id").isNotNull()
     times = step_times(visits.where(known), events.where(known), [funnel], F.col("client_id"),
                        start, end, drop_noise=False)
-    out = []
-    for j in range(len(funnel.steps) - 1):
-        a, b = F.col(f"f0_s{j}"), F.col(f"f0_s{j + 1}")
-        arrivals = times.where(b >= a).select(
-            "key", b.alias("arrived"), seconds_between(b, a).alias("seconds"))
-        sample = arrivals.orderBy("arrived", "key").limit(max_rows)
-        n = F.size("v")
-
-        def ranked(p: float) -> Column:
-            k = F.greatest(F.floor(n * F.lit(p)).cast("int"), F.lit(1))
-            return F.coalesce(F.round(F.get(F.col("v"), k - 1), 2), F.lit(0.0))
-
-        out.append(sample.agg(
-            F.sort_array(F.collect_list("seconds")).alias("v"), F.avg("seconds").alias("m")).select(
-            F.lit(funnel.key).alias("funnel_key"), F.lit(j + 1).cast("bigint").alias("step"),
-            F.lit(funnel.steps[j].label).alias("from_step"),
-            F.lit(funnel.steps[j + 1].label).alias("to_step"),
-            n.cast("bigint").alias("sample_size"),
-            F.coalesce(F.round("m", 2), F.lit(0.0)).alias("avg_seconds"),
-            ranked(0.5).alias("median_seconds"), ranked(0.9).alias("p90_seconds")))
-    return reduce(DataFrame.unionByName, out)
+    last = len(funnel.steps) - 1
+    pairs = F.array(*[
+        F.struct(F.lit(j + 1).cast("bigint").alias("step"), F.col(f"f0_s{j}").alias("a"),
+                 F.col(f"f0_s{j + 1}").alias("b")) for j in range(last)])
+    arrivals = times.select(F.explode(pairs).alias("p")).where("p.b >= p.a").select(
+        "p.step", seconds_between(F.col("p.b"), F.col("p.a")).alias("seconds"))
+    per_value = arrivals.groupBy("step", "seconds").agg(F.count("*").alias("n"))
+    # One coarse cell is one window; what lies before a cell comes from the cells' own counts.
+    cell = F.floor(F.log2(F.col("seconds") + 1) * 64)
+    placed = per_value.withColumn("_cell", cell)
+    cells = placed.groupBy("step", "_cell").agg(F.sum("n").alias("_cn"))
+    upto = Window.partitionBy("step").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    based = cells.select("step", "_cell", (F.sum("_cn").over(upto) - F.col("_cn")).alias("_base"),
+                         F.sum("_cn").over(Window.partitionBy("step")).alias("_all"))
+    within = Window.partitionBy("step", "_cell").orderBy("seconds").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = placed.join(based, ["step", "_cell"]).withColumn("_upto", F.col("_base") + F.sum("n").over(within))
+
+    def at(p: float) -> Column:
+        rank = F.greatest(F.floor(F.col("_all") * F.lit(p)), F.lit(1))
+        return F.coalesce(F.round(F.min(F.when(F.col("_upto") >= rank, F.col("seconds"))), 2), F.lit(0.0))
+
+    found = ranked.groupBy("step").agg(
+        F.sum("n").alias("sample_size"), F.round(F.sum(F.col("seconds") * F.col("n")) / F.sum("n"), 2).alias("avg_seconds"),
+        at(0.5).alias("median_seconds"), at(0.9).alias("p90_seconds"))
+    labels = times.sparkSession.createDataFrame(
+        [(funnel.key, j + 1, funnel.steps[j].label, funnel.steps[j + 1].label) for j in range(last)],
+        "funnel_key string, step long, from_step string, to_step string")
+    none = {"sample_size": 0, "avg_seconds": 0.0, "median_seconds": 0.0, "p90_seconds": 0.0}
+    return labels.join(found, "step", "left").fillna(none).select(
+        "funnel_key", "step", "from_step", "to_step", *none)
 
 
 _TOUCHED = ("source", "medium", "campaign", "page_url", "referrer")

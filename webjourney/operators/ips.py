@@ -87,8 +87,7 @@ def failures(errors: DataFrame, current: DataFrame, as_of: Moment, provider: str
         F.lit(provider).alias("source"), moment(as_of).alias("enriched_at"),
         none("timestamp", "ttl_expires_at"),
         F.when(attempts < max_attempts, "error").otherwise("failed").alias("status"),
-        F.substring("error_code", 1, 50).alias("error_code"),
-        F.substring("error_message", 1, 500).alias("error_message"),
+        "error_code", "error_message",
         attempts.alias("attempt_count"), "first_seen_at", "last_seen_at")
 
 

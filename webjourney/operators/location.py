@@ -28,7 +28,7 @@ def link_events_to_visits(
     Returns ``id, visit_id, linked_visit_id, link_rule``.
     """
     fingerprint = F.concat(F.lit("f:"), F.coalesce("ip_address", F.lit("")), F.lit("|"), F.coalesce(
-        F.substring("user_agent", 1, 1000), F.lit("")))
+        "user_agent", F.lit("")))
     client = F.concat(F.lit("c:"), F.col("client_id"))
     has_client = F.coalesce(F.col("client_id") != "", F.lit(False))
     hot = may_have_hot_key(events)

@@ -61,11 +61,11 @@ def rebuilt_sessions(assigned: DataFrame) -> DataFrame:
 
     return assigned.groupBy(F.col("new_session_id").alias("id")).agg(
         F.coalesce(first_known("ip_address"), F.lit("unknown")).alias("ip_address"),
-        F.substring(F.coalesce(first_known("user_agent"), F.lit("unknown")), 1, 500).alias("user_agent"),
+        F.coalesce(first_known("user_agent"), F.lit("unknown")).alias("user_agent"),
         first_known("client_id").alias("client_id"),
         F.min("timestamp").alias("first_visit"), F.max("timestamp").alias("last_visit"),
         F.count("*").alias("visit_count"),
-        blank_to_null(F.substring(F.min_by("referrer", order), 1, 2000)).alias("entry_referrer"),
+        blank_to_null(F.min_by("referrer", order)).alias("entry_referrer"),
         F.min_by("referrer_domain", order).alias("entry_referrer_domain"),
         F.lit(True).alias("is_external_entry"))
 
@@ -232,7 +232,7 @@ def session_attributes(hits: DataFrame) -> DataFrame:
 def latest_sessions(sessions: DataFrame) -> DataFrame:
     """Session each user would continue: the latest by client, or by address and agent."""
     by = F.when(F.col("client_id") != "", F.concat(F.lit("cid:"), "client_id")).otherwise(
-        F.concat(F.lit("ipua:"), "ip_address", F.lit(":"), F.substring("user_agent", 1, 500)))
+        F.concat(F.lit("ipua:"), "ip_address", F.lit(":"), "user_agent"))
     # Latest; of several at the same time the lowest id.
     return sessions.groupBy(by.alias("user_key")).agg(
         F.min_by(F.struct("id", "last_visit"), F.struct(-F.unix_micros("last_visit"), "id")).alias("s")).select(

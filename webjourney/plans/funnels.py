@@ -62,8 +62,7 @@ SELECT 'demo_to_schedule' AS funnel_key, {step}::BIGINT AS step, '{frm}' AS from
   count(*) AS sample_size, round(avg(d), 2) AS avg_seconds,
   round(list_sort(list(d))[greatest(floor(count(*) * 0.5)::INT, 1)], 2) AS median_seconds,
   round(list_sort(list(d))[greatest(floor(count(*) * 0.9)::INT, 1)], 2) AS p90_seconds
-FROM (SELECT (epoch_us({y}.t) - epoch_us({x}.t)) / 1e6 AS d FROM {x} JOIN {y} ON {x}.k = {y}.k AND {y}.t >= {x}.t
-      ORDER BY {y}.t, {x}.k LIMIT 5000)"""
+FROM (SELECT (epoch_us({y}.t) - epoch_us({x}.t)) / 1e6 AS d FROM {x} JOIN {y} ON {x}.k = {y}.k AND {y}.t >= {x}.t)"""
 
 
 @query("funnel_timing",

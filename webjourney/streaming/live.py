@@ -52,7 +52,7 @@ def enrich_intake(raw: DataFrame) -> DataFrame:
     device = ("timezone", "language", "screen_resolution", "viewport_size", "device_memory", "connection_type")
     return rows.select(
         "id", "timestamp", "visit_id", "client_id", "ip_address", "user_agent", "event_type",
-        F.substring("page_url", 1, 2000).alias("page_url"), F.substring("referrer", 1, 2000).alias("referrer"),
+        "page_url", "referrer",
         "path", "page_domain", "referrer_domain", "tracking_id", "source", "medium", "campaign",
         payload.alias("event_data"),
         *[F.col("client_side_data")[d].alias(f"client_side_{d}") for d in device])
