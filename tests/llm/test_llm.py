@@ -10,6 +10,7 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from compare import check, duck
 
@@ -126,7 +127,24 @@ def test_transducer_against_library(docs):
     for _ in range(200):
         data = bytes(rng.integers(0, 256, 12).tolist())
         assert machine.encode(data) == (machine.merge(data) if data not in ranks else [ranks[data]])
-    assert "".join(bpe_transducer.decode_stream([np.array([i]) for i in library.encode_ordinary("é中")], machine.text)) == "é中"
+    assert "".join(bpe_transducer.decode_stream([np.array([i]) for i in library.encode_ordinary("é中")], machine.bytes_of)) == "é中"
+    with pytest.raises(KeyError):
+        list(bpe_transducer.decode_stream([np.array([1])], pa.array([b"a", None], pa.large_binary())))
+
+
+def test_merging_is_the_librarys(docs):
+    import tiktoken
+
+    ranks = bpe_transducer.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    machine = bpe_transducer.Transducer(ranks)
+    rng = np.random.default_rng(3)
+    tokens = list(ranks)
+    for i, j in rng.integers(0, len(tokens), (3000, 2)).tolist():
+        data = tokens[i] + tokens[j]
+        want = library._core_bpe.encode_single_piece(data)
+        assert machine.encode(data) == want
+        assert data in ranks or machine.merge(data) == want
 
 
 def test_chat_folds_and_reads_back(spark):

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -35,6 +36,8 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], most_states: int = 200_000, most_pairs: int = 1_000_000):
         self.ranks = ranks
         self.text = {i: t for t, i in ranks.items()}
+        self.bytes_of = token_bytes(self.text)
+        self.no_rank = max(self.text) + 1
         self.most_states, self.most_pairs = most_states, most_pairs
         self.side_by_side: dict[tuple[int, int], bool] = {}
         self.own: dict[int, bool] = {}
@@ -70,13 +73,20 @@ class Transducer:
     def merge(self, data: bytes) -> list[int]:
         """Plain merging, lowest rank first; used on at most two tokens' bytes when the table is filled."""
         parts = [data[i:i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            ranked = [(self.ranks.get(a + b), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))]
-            found = [x for x in ranked if x[0] is not None]
-            if not found:
+        rank = self.ranks.get
+        none = self.no_rank
+        ranked = [rank(a + b, none) for a, b in zip(parts, parts[1:])]
+        while ranked:
+            lowest = min(ranked)
+            if lowest == none:
                 break
-            i = min(found)[1]
+            i = ranked.index(lowest)
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del ranked[i]
+            if i < len(ranked):
+                ranked[i] = rank(parts[i] + parts[i + 1], none)
+            if i:
+                ranked[i - 1] = rank(parts[i - 1] + parts[i], none)
         return [self.ranks[p] for p in parts]
 
     def may_follow(self, left: int, right: int) -> bool:
@@ -86,8 +96,9 @@ class Transducer:
             return self.own[right]
         key = (left, right)
         if key not in self.side_by_side:
-            self.side_by_side[key] = self.may_follow(-1, right) and \
-                self.merge(self.text[left] + self.text[right]) == [left, right]
+            both = self.text[left] + self.text[right]
+            self.side_by_side[key] = both not in self.ranks and self.may_follow(-1, right) and \
+                self.merge(both) == [left, right]
         return self.side_by_side[key]
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
@@ -98,8 +109,10 @@ class Transducer:
             if node is None:
                 continue
             token = self.token[node]
-            if here is None and token >= 0 and self.may_follow(tokens[-1], token):
-                here = (*tokens, token)
+            if here is None and token >= 0:
+                follows = self.side_by_side.get((tokens[-1], token))
+                if self.may_follow(tokens[-1], token) if follows is None else follows:
+                    here = (*tokens, token)
             if self.inner[node]:
                 open_places.append((node, tokens))
         if here is None:
@@ -115,7 +128,8 @@ class Transducer:
                 n += 1
             shared = n
         # The last shared token stays as the left neighbour of what follows.
-        new = tuple(open_places) if shared == 1 else tuple((node, tokens[shared - 1:]) for node, tokens in open_places)
+        new = tuple(open_places) if shared == 1 else tuple(
+            [(node, tokens[shared - 1:]) for node, tokens in open_places])
         number = self.numbers.get(new)
         if number is None:
             number = self.numbers[new] = len(self.states)
@@ -140,14 +154,22 @@ class Transducer:
         return out
 
 
-def decode_stream(chunks: Iterable[np.ndarray], text_of: dict[int, bytes]) -> Iterator[str]:
+def token_bytes(text_of: dict[int, bytes]) -> pa.Array:
+    """The bytes of each id at its own place, for ``decode_stream``."""
+    return pa.array([text_of.get(i) for i in range(max(text_of) + 1)], pa.large_binary())
+
+
+def decode_stream(chunks: Iterable[np.ndarray], texts: pa.Array) -> Iterator[str]:
     """Text of ids that come in chunks; a character cut by a chunk's end waits for its other bytes.
 
-    Bytes that are no UTF-8 come out as U+FFFD.
+    Bytes that are no UTF-8 come out as U+FFFD; an id that no token has is an error.
     """
     machine = codecs.getincrementaldecoder("utf-8")("replace")
     for ids in chunks:
-        yield machine.decode(b"".join(map(text_of.__getitem__, ids.tolist())))
+        found = texts.take(pa.array(ids))
+        if found.null_count:
+            raise KeyError("no token has this id")
+        yield machine.decode(found.buffers()[2] if len(found) else b"")
     yield machine.decode(b"", True)
 
 
@@ -185,13 +207,17 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         machine, pieces = coder(path, pattern)
         for batch in batches:
             texts = batch.column(1).fill_null("")
-            ids, counts = encode_column(texts, pieces, False)
+            gc.disable()  # the table of states has no cycles; looking for some in it takes a fifth of the time
+            try:
+                ids, counts = encode_column(texts, pieces, False)
+            finally:
+                gc.enable()
             ends = np.cumsum(counts)
             own = [ids[e - n:e] for e, n in zip(ends, counts)]
             chunks = ([x[i:i + 4096] for i in range(0, len(x), 4096)] for x in own)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(counts), pa.array([x.tobytes() for x in own], pa.binary()),
-                pa.array(["".join(decode_stream(c, machine.text)) for c in chunks], pa.string()),
+                pa.array(["".join(decode_stream(c, machine.bytes_of)) for c in chunks], pa.string()),
             ], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
