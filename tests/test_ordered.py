@@ -139,3 +139,15 @@ def test_stitch_visits_counts_pairs(spark, target):
             if n:
                 want[c, i] = n
     assert got == want
+
+
+def test_null_key_is_a_key(spark, frame, rows, hot):
+    nulls = frame.withColumn("k", F.when(F.col("k") != "hot", F.col("k")))
+    line = ordered.Timeline(nulls, ["k"], ["ts", "id"]).running_sum("s", F.lit(1)).previous("p", F.struct("id"))
+    want = set()
+    for k, items in by_key(rows).items():
+        before = None
+        for n, (_, i) in enumerate(items, 1):
+            want.add((None if k == "hot" else k, i, n, before))
+            before = i
+    assert {(r.k, r.id, r.s, r.p.id if r.p else None) for r in line.df.collect()} == want

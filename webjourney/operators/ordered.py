@@ -34,7 +34,7 @@ def may_have_hot_key(df: DataFrame) -> bool:
 def slice_widths(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
     """Hot keys with the slice width (µs) that keeps their busiest minute under the target.
 
-    At most ``rows / target`` keys qualify, so the frame is safe to broadcast.
+    At most ``rows / target`` keys qualify; whether that is small enough to broadcast is left to the planner.
     """
     target = target_rows(df.sparkSession)
     cell = F.floor(F.unix_micros(ts) / F.lit(_CELL_MICROS))
@@ -49,9 +49,27 @@ def slice_widths(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A fresh folder under the cluster's shared one (a temporary one where none is set)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="webjourney-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    """A fresh folder under the shared one, gone when the driver's JVM ends.
+
+    A temporary one only where Spark runs in one process; on a cluster each executor would write to its own disk.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="webjourney-")
+    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def left_join_nulls(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join in which a NULL key meets a NULL key; ``right`` adds its other columns."""
+    renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys]
+    return left.join(renamed, same, "left").drop(*[f"__right_{k}" for k in keys])
 
 
 def work_table(df: DataFrame) -> DataFrame:
@@ -69,8 +87,8 @@ class Timeline:
         self.keys, self.order, self.steps = list(keys), list(order), 0
         self.hot = may_have_hot_key(df) if hot is None else hot
         if self.hot:
-            widths = F.broadcast(slice_widths(df, self.keys, self.order[0]))
-            df = df.join(widths, self.keys, "left").withColumn(
+            widths = slice_widths(df, self.keys, self.order[0])
+            df = left_join_nulls(df, widths, self.keys).withColumn(
                 _SLICE, F.floor(F.unix_micros(self.order[0]) / F.col("_width"))).drop("_width")
         self.df = df
 
@@ -100,7 +118,7 @@ class Timeline:
             by_slice = Window.partitionBy(*self.keys).orderBy(_SLICE)
             carry = slices.select(*self._slice_keys, carried(by_slice).alias("_in"))
             out = (
-                out.join(carry, self._slice_keys, "left")
+                left_join_nulls(out, carry, self._slice_keys)
                 .withColumn(name, merge(F.col(name), F.col("_in"))).drop("_in")
             )
         self.df = out.drop("__value")
@@ -167,8 +185,8 @@ def ordered_summary(
     """``aggregates`` per key together with the ordered text: one pass unless a key is hot."""
     if hot:
         df = work_table(df)
-        return df.groupBy(*keys).agg(*aggregates).join(
-            ordered_join(df, keys, order, text, sep, name, hot), list(keys), "left")
+        texts = ordered_join(df, keys, order, text, sep, name, hot)
+        return left_join_nulls(df.groupBy(*keys).agg(*aggregates), texts, keys)
     item = F.when(text.isNotNull(), F.struct(*order, text.alias("_t")))
     return df.groupBy(*keys).agg(*aggregates, _joined(item, sep).alias(name))
 
@@ -320,4 +338,4 @@ def _with_entry(islands: DataFrame, ikeys: list[str], ts: str, row_id: str, limi
         return pd.DataFrame(out, columns=[*skeys, "_in_ts", "_in_id"])
 
     entry = summary.groupBy(*ikeys).applyInPandas(entries, f"{key_types}, _in_ts long, _in_id string")
-    return rows.join(entry, skeys, "left").withColumn("_slice", F.coalesce("_slice", F.lit(0).cast("long")))
+    return left_join_nulls(rows, entry, skeys).withColumn("_slice", F.coalesce("_slice", F.lit(0).cast("long")))
