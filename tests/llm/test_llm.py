@@ -268,6 +268,33 @@ def test_secrets(spark):
     assert secret_scan.scan(frame.limit(0)).count() == 0
 
 
+def test_secrets_all_runs_of_a_word(spark):
+    a, b = "0641917ea4e9feb9cda83477b57ac2654884f485", "Zq3kT9vXw2Lr8NdYp5BsHc7MfJ1aGe4UoKiR6tV0"
+    aws = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ8vT2kLpW"
+    parts = ["eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9", "eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6IkpvaG4gRG9lIn0",
+             "SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV_adQssw5c"]
+    rows = [(i, f"some plain words here number {i} about things") for i in range(30)]
+    rows += [(100, f'answer {{"access_token":"{a}","refresh_token":"{b}"}} was sent'),
+             (101, f'file {{"aws_secret_access_key":"{aws}"}} was read'),
+             (102, f"call https://host/long/path/of/items?token={a} then"), (103, f"sent {'.'.join(parts)} as header"),
+             (104, f"both {b}|{b} twice"), (105, "ratio=" + "x1" * 5 + " of=" + "y2" * 6), (106, "no key here")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = secret_scan.candidates(frame).collect()
+    want = []
+    core = "[A-Za-z0-9+/_=-]"
+    for d, text in rows:
+        for at, word in enumerate(text.split()):
+            if re.search("[0-9]|[a-z][A-Z]", word):
+                cut = re.sub(f"(?<!{core})([A-Za-z_-]+=)(?={core}{{16}})", r"\1 ", word)
+                want += [(d, at, n, run) for n, run in enumerate(re.findall(core + "{16,}", cut))]
+    assert pick(got, "doc_id", "at", "nth", "finding") == sorted(want, key=str) and len(want) == 12
+    assert {(r.doc_id, r.finding): r.left for r in got}[100, b] == a + '","refresh_token":"'
+    clean = {r.doc_id: r.text for r in secret_scan.redact(frame).collect()}
+    assert clean[100] == 'answer {"access_token":"[SECRET]","refresh_token":"[SECRET]"} was sent'
+    assert aws not in clean[101] and clean[102] == "call https://host/long/path/of/items?token=[SECRET] then"
+    assert not any(p in clean[103] for p in parts)
+
+
 def test_forest_on_findings_it_has_not_seen(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     made = common.stored(secret_scan.made_findings(docs, 400).selectExpr("*", "pmod(xxhash64(finding), 5) = 0 as held"))

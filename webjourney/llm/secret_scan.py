@@ -1,7 +1,7 @@
 """Scan for secrets: wide candidate patterns, and a random forest that takes the false positives out.
 
-Candidates are long runs of key-like characters. The forest sees their length, character transitions, how much of
-them common words cover, whether they are part of a path, and the words next to them. It learns from labelled
+Candidates are all long runs of key-like characters. The forest sees their length, character transitions, how much of
+them common words cover, whether they are part of a path, and what stands next to them. It learns from labelled
 findings; where there are none, ``made_findings`` makes some of both kinds in the style of the corpus. Everything runs
 as DataFrame operations in the JVM.
 """
@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from webjourney.llm.common import BLANKS, stored
 
 CORE = r"[A-Za-z0-9+/_=\-]{16,}"
+#: A name and its equals sign at the start of a run whose rest is long enough: ``token=...``.
+NAMED = r"(?<![A-Za-z0-9+/_=\-])([A-Za-z_\-]+=)(?=[A-Za-z0-9+/_=\-]{16})"
+#: What stands before the second and third part of a signed web token.
+TOKEN_PART = r"(^|[^A-Za-z0-9+/_=\-])eyJ[A-Za-z0-9_=\-]+\.([A-Za-z0-9_=\-]+\.)?$"
 #: Word parts that prose and identifiers are made of.
 COMMON = ("the and ing ion tion ent for ter ati her tha ere hat his con pro com per sta est ver all ith str able "
           "user data file name test example sample demo value index config path item page list image main home src "
@@ -37,29 +41,44 @@ def _share(text: str, pattern: str) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, at (word number from 0), finding, word, before (the two words before), after.
+    """doc_id, at (word number from 0), nth (run number in the word from 0), finding, left, word, before, after.
 
-    A finding is the first key-like run of a word, if the word has a digit or an inner capital. Null texts have none;
-    repeated rows repeat theirs.
+    Findings are all key-like runs of a word, if the word has a digit or an inner capital; ``name=`` in front of a run
+    is a run of its own. ``left`` is what stands between the run and the one before it in the word, that one included;
+    ``word`` goes on to the next run, so a long word is not repeated for each of its runs. ``before`` are the two words
+    before, their end for all runs but the first. Null texts have none; repeated rows repeat theirs.
     """
     words = F.array_remove(F.split("text", BLANKS), "")
     looks = F.transform("words", lambda w, i: F.when(
         (F.length(w) >= 16) & w.rlike("[0-9]|[a-z][A-Z]") & w.rlike(CORE), i))
     rows = docs.select("doc_id", words.alias("words")).withColumn("hits", F.filter(looks, lambda i: i.isNotNull()))
     rows = rows.where(F.size("hits") > 0).select("doc_id", "words", F.explode("hits").alias("at"))
-    word = F.get("words", F.col("at"))
-    before = F.concat_ws(" ", F.get("words", F.col("at") - 2), F.get("words", F.col("at") - 1))
-    return rows.select("doc_id", F.col("at").cast("int").alias("at"), F.regexp_extract(word, CORE, 0).alias("finding"),
-                       word.alias("word"), before.alias("before"),
-                       F.coalesce(F.get("words", F.col("at") + 1), F.lit("")).alias("after"))
+    rows = rows.select(
+        "doc_id", F.col("at").cast("int").alias("at"),
+        F.regexp_replace(F.get("words", F.col("at")), NAMED, "$1\0").alias("cut"),
+        F.concat_ws(" ", F.get("words", F.col("at") - 2), F.get("words", F.col("at") - 1)).alias("before"),
+        F.coalesce(F.get("words", F.col("at") + 1), F.lit("")).alias("after"))
+    # As many texts between runs as runs, and one more.
+    rows = rows.select("doc_id", "at", "before", "after", F.expr(f"regexp_extract_all(cut, r'{CORE}', 0)").alias("runs"),
+                       F.transform(F.split("cut", CORE, -1), lambda x: F.replace(x, F.lit("\0"), F.lit(""))).alias("between"))
+    each = F.transform("runs", lambda run, i: F.struct(
+        i.alias("nth"), run.alias("finding"),
+        F.concat(F.when(i > 0, F.get("runs", i - 1)).otherwise(""), F.get("between", i)).alias("left"),
+        F.get("between", i + 1).alias("right")))
+    rows = rows.select("doc_id", "at", "before", "after", F.explode(each).alias("r"))
+    return rows.select(
+        "doc_id", "at", "r.nth", "r.finding", "r.left", F.concat("r.left", "r.finding", "r.right").alias("word"),
+        F.when(F.col("r.nth") == 0, F.col("before")).otherwise(F.expr("right(before, 100)")).alias("before"), "after")
 
 
 def with_features(found: DataFrame) -> DataFrame:
-    """Adds the forest's features as double columns ``f_<name>``."""
+    """Adds the forest's features as double columns ``f_<name>``. Without ``left``, a finding is the first in its word."""
+    if "left" not in found.columns:
+        found = found.withColumn("left", F.expr("substring(word, 1, greatest(0, instr(word, finding) - 1))"))
     shape = "finding"
     for some, mark in (("[a-z]+", "a"), ("[A-Z]+", "A"), ("[0-9]+", "0")):
         shape = F.regexp_replace(shape, some, mark)
-    head = F.concat_ws(" ", "before", F.expr("substring(word, 1, greatest(0, instr(word, finding) - 1))"))
+    head = F.concat_ws(" ", "before", "left")
     columns = {
         "length": F.length("finding"), "digits": _share("finding", "[0-9]"), "uppers": _share("finding", "[A-Z]"),
         "lowers": _share("finding", "[a-z]"), "symbols": _share("finding", r"[+/_=\-]"),
@@ -69,7 +88,7 @@ def with_features(found: DataFrame) -> DataFrame:
         "coverage": _share("finding", f"(?i)({'|'.join(sorted(COMMON, key=len, reverse=True))})"),
         "slashes": F.length("word") - F.length(F.regexp_replace("word", r"[/\\]", "")),
         "in_url": F.col("word").rlike(r"://|www\.|\.(html?|php|png|jpe?g|js|css|py|txt|pdf)\b"),
-        "issued": F.col("finding").rlike(ISSUED), "key_name": head.rlike(KEY_NAMES), "other_name": head.rlike(OTHER_NAMES),
+        "issued": F.col("finding").rlike(ISSUED) | F.col("left").rlike(TOKEN_PART), "key_name": head.rlike(KEY_NAMES), "other_name": head.rlike(OTHER_NAMES),
         "assigned": head.rlike(r"[=:]\W*$"), "quoted": F.col("word").rlike("[\"'`]"),
     }
     return found.withColumns({f"f_{k}": columns[k].cast("double") for k in FEATURES})
