@@ -1,9 +1,12 @@
 """Streams over several micro-batches give what the batch operators give on the whole log."""
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
 from webjourney.operators import location, sessions, summaries
+from webjourney.plans import streams
 from webjourney.sources import weblog
 from webjourney.streaming import live
 
@@ -71,6 +74,17 @@ def test_latest_and_summaries(source, tmp_path):
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def test_queries_read_the_newest_version(source, tmp_path, monkeypatch):
+    raw, stream = source
+    monkeypatch.setattr(streams.weblog, "log_stream", lambda spark, folder: stream)
+    spark, events, visits = raw.sparkSession, weblog.visit_events(raw), weblog.visits(raw)
+    t = SimpleNamespace(spark=spark, dir="", visits=visits, events=events)
+    want = events.where("event_type <> 'heartbeat'").orderBy(F.desc("timestamp"), F.desc("id")).limit(100)
+    assert {r.id for r in streams.stream_latest_events(t).collect()} == {r.id for r in want.collect()}
+    full = summaries.journeys(summaries.client_summaries(visits, events))
+    assert sorted(map(str, streams.stream_summaries(t).collect())) == sorted(map(str, full.collect()))
+
+
 def test_append_by_day_and_windows(source, tmp_path):
     raw, stream = source
     out, checkpoint = folders(tmp_path)

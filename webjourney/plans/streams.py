@@ -121,7 +121,7 @@ def stream_summaries(t):
     root = work_dir(t.spark)
     handle = live.summary_batch(lambda: t.visits, lambda: t.events, root)
     live.each_batch(_events(t), handle, f"{root}/checkpoint").awaitTermination()
-    return t.spark.read.parquet(f"{root}/journeys/v0")
+    return live.newest_version(t.spark, f"{root}/journeys")
 
 
 @query("stream_latest_events", """
@@ -131,7 +131,7 @@ FROM ve WHERE event_type <> 'heartbeat' ORDER BY ts DESC, id DESC LIMIT 100""")
 def stream_latest_events(t):
     root = work_dir(t.spark)
     live.each_batch(_events(t), live.latest_batch(root), f"{root}/checkpoint").awaitTermination()
-    return t.spark.read.parquet(f"{root}/v0")
+    return live.newest_version(t.spark, root)
 
 
 @query("stream_geo_inherit", """

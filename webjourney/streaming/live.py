@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -261,6 +261,14 @@ def latest_batch(root: str, n: int = 100) -> Callable[[DataFrame, int], None]:
     return handle
 
 
+def newest_version(spark: SparkSession, root: str) -> DataFrame:
+    """The complete version ``v<batch>`` of the latest batch."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(f"{root}/v*/_SUCCESS")
+    done = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place)
+    return spark.read.parquet(f"{root}/v{max(int(f.getPath().getParent().getName()[1:]) for f in done)}")
+
+
 def summary_batch(
     visits: Callable[[], DataFrame], events: Callable[[], DataFrame], root: str,
 ) -> Callable[[DataFrame, int], None]:
