@@ -111,6 +111,31 @@ def test_plan_keeps_every_item():
     assert bins <= 1.05 * sum(s * n for s, n in counts.items()) / 1024 + 1
 
 
+def test_plan_is_best_fit_item_by_item():
+    def free_rooms(counts, capacity):
+        rooms = []
+        for s in sorted(Counter(counts).elements(), reverse=True):
+            room = min((r for r in rooms if r >= s), default=None)
+            if room is None:
+                room = capacity
+            else:
+                rooms.remove(room)
+            rooms.append(room - s)
+        return sorted(rooms)
+
+    def planned(counts, capacity):
+        return sorted(capacity - sum(sizes) for sizes, n in bestfit.plan(dict(counts), capacity) for _ in range(n))
+
+    assert sum(n for _, n in bestfit.plan({724: 100, 150: 100, 100: 150, 70: 200}, 1024)) == len(
+        free_rooms({724: 100, 150: 100, 100: 150, 70: 200}, 1024))
+    assert sum(n for _, n in bestfit.plan({724: 100, 100: 150, 70: 200}, 1024)) == 100
+    rng = np.random.default_rng(8)
+    for _ in range(30):  # no two of the large ones fit together, so the matching leaves each alone
+        counts = Counter(rng.integers(690, 1025, 60).tolist() + rng.integers(1, 342, rng.integers(1, 400)).tolist()
+                         + [int(rng.integers(1, 342))] * 150)
+        assert planned(counts, 1024) == free_rooms(counts, 1024)
+
+
 def test_transducer_against_library(docs):
     import tiktoken
 

@@ -53,11 +53,15 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
                 left[s] = 0
                 break
             sizes, n = gaps[fit].pop()
-            most = min(fit // s, max(1, left[s] // n))
-            k = min(n, left[s])
-            add((*sizes, *(s,) * most), k)
+            # A sequence just added to is the fullest that takes one more, so each is filled on before the next.
+            many = fit // s
+            k = min(n, left[s] // many)
+            add((*sizes, *(s,) * many), k)
+            left[s] -= k * many
+            if k < n and left[s]:
+                add((*sizes, *(s,) * left[s]), 1)
+                k, left[s] = k + 1, 0
             add(sizes, n - k)
-            left[s] -= k * most
     return [(sizes, n) for some in gaps.values() for sizes, n in some]
 
 
