@@ -5,7 +5,6 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from webjourney.llm import bestfit, line_dedup, ngram_join, quality, secret_scan
 from webjourney.llm.common import stored
@@ -26,11 +25,17 @@ def line_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id, once. Rows without an id stay."""
-    groups = ngram_join.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__dropped")).distinct()
-    rest = docs.join(groups, docs["doc_id"] == groups["__dropped"], "left_anti")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return rest.withColumn("__nth", first).where("__nth = 1 or doc_id is null").select(docs.columns)
+    """One row of each group of near copies: the one with the smallest doc_id, then digest; null ids come last.
+
+    Rows are compared each by itself, also those that share an id or have none. Texts without words stay.
+    """
+    keyed = stored(docs.withColumn("__key", F.monotonically_increasing_id()))
+    groups = ngram_join.near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text")).select(
+        F.col("doc_id").alias("__key"), "group_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.md5(F.col("text").cast("binary")), "__key")
+    first = keyed.select("__key", order.alias("order")).join(groups, "__key").groupBy("group_id").agg(
+        F.min("order").getField("__key").alias("__key")).select("__key")
+    return keyed.join(first, "__key", "left_semi").select(docs.columns)
 
 
 def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -341,3 +341,17 @@ def test_pipeline_stages(spark):
         if number < 4:
             assert docs.columns == before.columns and docs.count() <= before.count()
     assert docs.where("piece = 0").count() == before.count()
+
+
+def test_near_copies_of_rows_that_share_an_id_or_have_none(spark):
+    def words(name, change=None):
+        return " ".join(change if i == 30 and change else f"{name}{i}" for i in range(80))
+
+    rows = [(1, words("a")), (7, words("a", "x")), (7, words("b")), (7, words("c")), (7, words("c")), (9, words("b", "y")),
+            (None, words("d")), (None, words("d")), (None, words("d", "z")), (None, words("a")), (None, words("e")),
+            (None, None), (12, "")]
+    frame = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    got = corpus_pipeline.near_duplicates(spark, frame, "").collect()
+    d = min((words("d"), words("d", "z")), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    want = [(1, words("a")), (7, words("b")), (7, words("c")), (None, d), (None, words("e")), (None, None), (12, "")]
+    assert pick(got, "doc_id", "text") == sorted(want, key=str)
