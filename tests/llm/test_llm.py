@@ -355,3 +355,20 @@ def test_near_copies_of_rows_that_share_an_id_or_have_none(spark):
     d = min((words("d"), words("d", "z")), key=lambda t: hashlib.md5(t.encode()).hexdigest())
     want = [(1, words("a")), (7, words("b")), (7, words("c")), (None, d), (None, words("e")), (None, None), (12, "")]
     assert pick(got, "doc_id", "text") == sorted(want, key=str)
+
+
+def test_cells_of_rows_without_an_id_hold_one_text(spark):
+    rows = [(None if i % 2 else 5, f"own {i}\nshared {i % 3}\nend {i}", f"s{i}") for i in range(36)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    lines = common.stored(line_dedup.lines_of(frame))
+    cells = line_dedup.removable(lines, line_dedup.boilerplate(lines, 12)).collect()
+    assert len(cells) == 36 and all(len(r["__drop"]) == 1 for r in cells)
+    assert pick(line_dedup.clean(frame, 12).collect(), "doc_id", "text") == sorted(
+        [(d, f"own {i}\nend {i}") for i, (d, _, _) in enumerate(rows)], key=str)
+
+    sha = "0641917ea4e9feb9cda83477b57ac2654884f485"
+    texts = [f'set token = "{sha}" now', f"see some commit {sha} there"]
+    plain = [f"some plain words here number {i} about things" for i in range(30)]
+    frame = spark.createDataFrame([(None, t) for t in texts + plain], "doc_id long, text string")
+    clean = {r.text for r in secret_scan.redact(frame).collect()}
+    assert clean == {'set token = "[SECRET]" now', texts[1], *plain}

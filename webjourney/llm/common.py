@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are what lies between blanks: U+0020 and U+0009 to U+000D.
@@ -47,6 +47,11 @@ def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def text_key(text: Column) -> Column:
+    """128 bits that tell texts of one doc_id apart."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def task_number() -> int:
     from pyspark import TaskContext
 

@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webjourney.llm.common import BLANKS, stored
+from webjourney.llm.common import BLANKS, stored, text_key
 
 CORE = r"[A-Za-z0-9+/_=\-]{16,}"
 #: A name and its equals sign at the start of a run whose rest is long enough: ``token=...``.
@@ -153,14 +153,16 @@ def train(findings: DataFrame, trees: int = 30, depth: int = 8, seed: int = 11)
         stored(with_features(findings).select("label", *names)))
 
 
-def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
+def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float = 0.5,
+         sample: DataFrame | None = None) -> DataFrame:
     """All candidates of all texts: doc_id, at, finding, probability, secret.
 
-    ``findings`` are labelled ones to learn from; by default they are made from a bounded sample. An empty table gives
-    an empty result; other columns are not looked at.
+    ``findings`` are labelled ones to learn from; by default they are made from a bounded sample of ``sample``, which
+    is ``docs`` if not given. An empty table gives an empty result; other columns are not looked at.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    labelled = stored(made_findings(rows)) if findings is None else findings
+    words = rows if sample is None else sample.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    labelled = stored(made_findings(words)) if findings is None else findings
     found = stored(with_features(candidates(rows)))  # few rows, which the forest reads several times
     if findings is None and labelled.isEmpty():
         return found.select("doc_id", "at", "finding", F.lit(None).cast("double").alias("probability"),
@@ -172,10 +174,16 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float =
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every secret of a text replaced in it; all rows and columns stay, rows of one doc_id share theirs."""
-    found = scan(docs).where("secret").groupBy(F.col("doc_id").alias("__doc_id")).agg(
+    """``docs`` with every secret of a text replaced in it; all rows and columns stay.
+
+    Secrets are gathered by doc_id and digest, so a cell holds those of one text, however many rows share its id.
+    """
+    texts = docs.select(F.struct("doc_id", text_key(F.col("text")).alias("text_key")).alias("doc_id"), "text")
+    found = scan(texts, sample=docs).where("secret").groupBy(
+        F.col("doc_id.doc_id").alias("__doc_id"), F.col("doc_id.text_key").alias("__text_key")).agg(
         F.collect_set("finding").alias("__secrets"))
-    rows = docs.join(found, docs["doc_id"].eqNullSafe(found["__doc_id"]), "left")
+    same = docs["doc_id"].eqNullSafe(found["__doc_id"]) & (text_key(docs["text"]) == found["__text_key"])
+    rows = docs.join(found, same, "left")
     longest_first = F.reverse(F.array_sort(F.transform("__secrets", lambda s: F.struct(F.length(s).alias("n"), s.alias("s")))))
     clean = F.aggregate(longest_first, F.col("text"), lambda text, s: F.replace(text, s.s, F.lit(mark)))
-    return rows.withColumn("text", F.coalesce(clean, F.col("text"))).drop("__doc_id", "__secrets")
+    return rows.withColumn("text", F.coalesce(clean, F.col("text"))).drop("__doc_id", "__text_key", "__secrets")
