@@ -64,7 +64,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: The forest cannot be written in SQL; the tests hold the stages against brute force.
+#: The forest cannot be written in SQL; the README says what the tests hold the stages against.
 ORACLE_SQL = None
 
 
