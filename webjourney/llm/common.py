@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Words are what lies between blanks: U+0020 and U+0009 to U+000D.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -42,6 +43,29 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def positions(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``df`` with ``pos``, the row's place within its key in ``order`` (nulls first), and ``n``, the key's rows.
+
+    Rows are dealt by ranges of key and order and numbered where they lie; what a key has in earlier ranges is added
+    from a table with one row per key and range. A key may span any number of ranges. Equal rows take any of their
+    places.
+    """
+    ranged = stored(
+        df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+        .withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    held = ranged.groupBy(*keys, part.alias("__part")).agg(
+        F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    key = Window.partitionBy(*keys)
+    before = key.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select(
+        *[F.col(k).alias(f"__{k}") for k in keys], F.col("__part").alias("__in"), F.sum("__n").over(key).alias("n"),
+        (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__base"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return ranged.join(held, [*same, part == F.col("__in")]).withColumn("pos", F.col("__at") + F.col("__base")).drop(
+        "__at", "__in", "__base", *[f"__{k}" for k in keys])
+
+
 def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
     """Hand Python at most so many rows at once: texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webjourney.llm import (
-    bestfit, bpe_transducer, chat, embed_dedup, line_dedup, maxent_lm, ngram_join, quality,
-    secret_scan, token_store)
+    bestfit, bpe_transducer, chat, embed_dedup, line_dedup, maxent_lm, merkle, ngram_join, quality, repair,
+    secret_scan, token_store, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -177,3 +177,135 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_secret_scan")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def _crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text in DuckDB."""
+    return f"""xor(list_reduce([4294967295::UBIGINT] || list_transform(string_split({text}, ''), lambda ch: ord(ch)::UBIGINT),
+      lambda c, b: list_reduce([xor(c, b)] || list_transform(range(8), lambda z: z::UBIGINT),
+        lambda y, k: xor(y >> 1, (y & 1) * 3988292384::UBIGINT))), 4294967295::UBIGINT)"""
+
+
+def _leaf_sql(text: str) -> str:
+    fields = [f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({c}::VARCHAR)) || ':' || {c} END"
+              for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(fields)})"
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_FOLD_SQL = """SELECT f.rid, f.key, f.level + 1, f.pos // 16,
+      sha256(string_agg(CASE WHEN t.pos = f.pos THEN f.h ELSE t.h END, '' ORDER BY t.pos)),
+      f.proof || coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (WHERE t.pos <> f.pos), '')
+    FROM {fold} f JOIN {tree} t ON t.key = f.key AND t.level = f.level AND t.pos // 16 = f.pos // 16 AND t.n > 1
+    GROUP BY f.rid, f.key, f.level, f.pos, f.h, f.proof"""
+_GROW_SQL = """SELECT key, level + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 15) // 16
+    FROM {tree} WHERE n > 1 GROUP BY key, level, pos // 16"""
+
+
+@query("op11_merkle_manifest", f"""
+WITH RECURSIVE l AS (
+  SELECT doc_id, coalesce('=' || source, '') AS key, {_leaf_sql('text')} AS leaf,
+         CASE WHEN {_crc32_sql('doc_id::VARCHAR')} % 5 = 0 AND text IS NOT NULL
+              THEN {_leaf_sql(f"translate(text, '{_UPPER}', '{_LOWER}')")} END AS other FROM documents),
+leaves AS (
+  SELECT *, row_number() OVER () AS rid, count(*) OVER (PARTITION BY key) AS n,
+         row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+tree(key, level, pos, h, n) AS (SELECT key, 0, pos, leaf, n FROM leaves UNION ALL {_GROW_SQL.format(tree='tree')}),
+tops AS (SELECT key AS name, h AS subroot, row_number() OVER (ORDER BY key) - 1 AS pos, count(*) OVER () AS n
+         FROM tree WHERE n = 1),
+above(key, level, pos, h, n) AS (
+  SELECT '', 0, pos, subroot, n FROM tops UNION ALL {_GROW_SQL.format(tree='above')}),
+fold(rid, key, level, pos, h, proof) AS (
+  SELECT rid, key, 0, pos, coalesce(other, leaf), '' FROM leaves
+  UNION ALL {_FOLD_SQL.format(fold='fold', tree='tree')}),
+folded AS (SELECT rid, key, arg_max(h, level) AS h, arg_max(proof, level) AS proof FROM fold GROUP BY rid, key),
+up(rid, key, level, pos, h, proof) AS (
+  SELECT rid, '', 0, t.pos, h, proof FROM folded f JOIN tops t ON t.name = f.key
+  UNION ALL {_FOLD_SQL.format(fold='up', tree='above')}),
+done AS (SELECT rid, arg_max(h, level) AS h, arg_max(proof, level) AS proof FROM up GROUP BY rid)
+SELECT doc_id, leaf, subroot, (SELECT h FROM above WHERE n = 1) AS root, sha256(proof) AS proof_sha256,
+       h AS folded_root, h = (SELECT h FROM above WHERE n = 1) AS verified
+FROM leaves JOIN done USING (rid) JOIN tops ON name = key""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    docs = table(spark, sf_dir, "documents")
+    return merkle.verify(merkle.manifest(merkle.leaves(docs, F.when(hit, merkle.lower_ascii(F.col("text"))))))
+
+
+@query("op12_warc_index", """
+WITH d AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+         sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest),
+r AS (SELECT d.*, CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+      FROM d JOIN f USING (payload_digest)
+      UNION ALL SELECT *, NULL FROM d WHERE payload_digest NOT IN (SELECT payload_digest FROM f))
+SELECT page_id, payload_bytes, payload_digest, refers_to,
+       CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type FROM r""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The pages have no time of capture; one is made from page_id.
+    rows = warc.captures(table(spark, sf_dir, "pages"), F.pmod(F.col("page_id"), F.lit(1 << 31)), least=100)
+    return warc.merge_histories(warc.read_archives(warc.write_archives(rows))).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_DAMAGE_SQL = _crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")
+
+
+@query("op13_conversation_repair", rf"""
+WITH RECURSIVE numbered AS (
+  SELECT coalesce(conv_id::VARCHAR, ' ') AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_DAMAGE_SQL} % 20 AS k FROM conversations),
+hurt AS (
+  SELECT conv, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM numbered WHERE k <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, md5(text), copy) - 1 AS pos FROM hurt),
+marked AS (
+  SELECT conv, turn, role, text, pos, role[1] AS i,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b'
+              WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY pos) > 1 THEN 'd'
+              WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 't'
+              ELSE '.' END AS fault,
+         lag(role[1]) OVER (PARTITION BY conv ORDER BY pos) AS i_before FROM placed),
+facts AS (
+  SELECT conv, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate,
+         count(*) FILTER (WHERE fault = 't') AS truncated,
+         count(*) FILTER (WHERE i_before IS NOT NULL AND i_before || i NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM marked GROUP BY conv),
+put(q, p, c, s, o) AS (VALUES
+  (0, 0, 0, '', ''), (0, 2, 2, 'I', 'user:;'), (0, 3, 4, 'II', 'user:;assistant:;'),
+  (1, 1, 0, '', ''), (1, 2, 2, 'I', 'user:;'), (1, 3, 4, 'II', 'user:;assistant:;'),
+  (2, 2, 0, '', ''), (2, 3, 2, 'I', 'assistant:;'), (2, 2, 4, 'II', 'assistant:;user:;'),
+  (3, 3, 0, '', ''), (3, 2, 2, 'I', 'user:;'), (3, 3, 4, 'II', 'user:;assistant:;')),
+edit(p, e, i, r, c) AS (VALUES
+  (0, 'D', '', 0, 3), (1, 'D', '', 1, 3), (2, 'D', '', 2, 3), (3, 'D', '', 3, 3),
+  (0, 'K', 's', 1, 0), (0, 'K', 'u', 2, 0), (1, 'K', 'u', 2, 0), (2, 'K', 'a', 3, 0), (3, 'K', 'u', 2, 0),
+  (0, 'R', '', 2, 2), (1, 'R', '', 2, 2), (2, 'R', '', 3, 2), (3, 'R', '', 2, 2)),
+ways(conv, pos, q, cost, audit, written) AS (
+  SELECT conv, 0, 0, 0, '', '' FROM facts
+  UNION ALL
+  SELECT conv, pos + 1, r, min(cost), arg_min(audit, (cost, audit)), arg_min(written, (cost, audit)) FROM (
+    SELECT w.conv, w.pos, e.r, w.cost + p.c + e.c + CASE WHEN e.e <> 'D' AND m.fault = 't' THEN 1 ELSE 0 END AS cost,
+           w.audit || p.s || e.e AS audit,
+           w.written || replace(p.o, ';', chr(10)) || CASE e.e WHEN 'D' THEN '' WHEN 'K' THEN m.role || ':' || m.text || chr(10)
+             ELSE CASE e.r WHEN 3 THEN 'assistant:' ELSE 'user:' END || m.text || chr(10) END AS written
+    FROM ways w JOIN put p ON p.q = w.q JOIN marked m ON m.conv = w.conv AND m.pos = w.pos
+    JOIN edit e ON e.p = p.p AND (e.i = '' OR e.i = m.i) AND (e.e = 'D' OR m.fault NOT IN ('b', 'd')))
+  GROUP BY conv, pos, r),
+ends AS (
+  SELECT w.conv, w.cost + p.c AS cost, w.audit || p.s AS audit, w.written || replace(p.o, ';', chr(10)) AS written
+  FROM ways w JOIN facts f ON f.conv = w.conv AND f.n = w.pos JOIN put p ON p.q = w.q AND p.p IN (0, 3)),
+best AS (
+  SELECT conv, min(cost) AS cost, arg_min(audit, (cost, audit)) AS audit, arg_min(written, (cost, audit)) AS written
+  FROM ends GROUP BY conv)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(left(written, length(written) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN facts f ON f.conv = coalesce(c.conv_id::VARCHAR, ' ') LEFT JOIN best b ON b.conv = f.conv""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = F.concat("conv", F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    return repair.audit(table(spark, sf_dir, "conversations"), F.pmod(F.crc32(named.cast("binary")), F.lit(20)))
