@@ -1,6 +1,6 @@
 """Run registered queries against their SQL: python tests/run_queries.py [sf_dir] [name ...]
 
-TARGET_ROWS=50 makes small keys count as hot, so the sliced plans run.
+SLICES=50 deals the ordered steps into 50 slices, however few rows there are.
 """
 
 import os
@@ -17,8 +17,8 @@ if __name__ == "__main__":
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:]
     conf = {"spark.sql.shuffle.partitions": "8"}
-    if os.environ.get("TARGET_ROWS"):
-        conf["spark.webjourney.targetRows"] = os.environ["TARGET_ROWS"]
+    if os.environ.get("SLICES"):
+        conf |= {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": os.environ["SLICES"]}
     spark = get_spark("local[8]", **conf)
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls = duck(sf), entry.oracle_sql()

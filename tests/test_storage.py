@@ -90,7 +90,7 @@ def test_upsert_and_failures(spark):
     errors = spark.createDataFrame([("a", "e" * 60, "m", day(3), day(4)), ("c", "e", "m", day(3), day(4))],
                                    "ip string, error_code string, error_message string, first_seen_at timestamp, last_seen_at timestamp")
     got = {r.ip: r for r in ips.upsert(current, ips.failures(errors, current, "2024-01-31")).collect()}
-    assert (got["a"].status, got["a"].attempt_count, got["a"].first_seen_at, len(got["a"].error_code)) == ("failed", 3, day(1), 50)
+    assert (got["a"].status, got["a"].attempt_count, got["a"].first_seen_at, len(got["a"].error_code)) == ("failed", 3, day(1), 60)
     assert (got["c"].status, got["c"].attempt_count) == ("error", 1) and got["b"].company_name == "B"
 
 

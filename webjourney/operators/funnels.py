@@ -14,7 +14,7 @@ from webjourney.functions import forms
 from webjourney.functions.journeys import uid
 from webjourney.functions.predicates import Moment, has_prefix, in_range, seconds_between
 from webjourney.functions.text import or_else
-from webjourney.operators.ordered import may_have_hot_key, ordered_summary
+from webjourney.operators.ordered import Timeline
 
 
 def _step_rows(
@@ -194,9 +194,9 @@ def funnel_stage_users(
         F.col("key").alias("client_id"), F.col(f"f0_s{step}").alias("stage_reached_at"))
 
     in_stage = in_range(v, start, end).join(stage.select("client_id"), "client_id", "left_semi")
-    walked = ordered_summary(
-        in_stage.select("client_id", "timestamp", "id", "path", *_TOUCHED), ["client_id"], ["timestamp", "id"],
-        F.when(F.col("path") != "", F.col("path")), " → ", "path_sequence", _touch_columns(), may_have_hot_key(visits))
+    walked = Timeline(
+        in_stage.select("client_id", "timestamp", "id", "path", *_TOUCHED), ["client_id"], ["timestamp", "id"]).summary(
+        F.when(F.col("path") != "", F.col("path")), " → ", "path_sequence", _touch_columns())
     # Latest form of the client, whatever it contains and whenever it was sent.
     forms_of = e.where(F.col("event_type") == "form_submit").groupBy("client_id").agg(
         F.max_by(F.struct("event_data", "page_url", "timestamp"), F.struct("timestamp", "id")).alias("f"))

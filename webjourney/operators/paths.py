@@ -9,7 +9,7 @@ from webjourney.functions import forms, url
 from webjourney.functions.journeys import uid
 from webjourney.functions.predicates import Moment, days_before, hits_target, micros, seconds_between
 from webjourney.functions.text import first_email
-from webjourney.operators.ordered import Timeline, may_have_hot_key, ordered_join, ordered_summary, running_counts, work_table
+from webjourney.operators.ordered import Timeline, running_counts, work_table
 
 ARROW = " → "
 
@@ -38,12 +38,11 @@ def path_analysis(visits: DataFrame, events: DataFrame, target: str, as_of: Mome
     # Every conversion is a visit, so the first touch lies among the visits up to it.
     journey = v.join(converters.select("uid", "conversion_at"), "uid").where(
         F.col("timestamp") <= F.col("conversion_at"))
-    t = Timeline(journey, ["uid"], ["timestamp", "id"], may_have_hot_key(visits)).previous("_prev", F.struct("path"))
+    t = Timeline(journey, ["uid"], ["timestamp", "id"]).previous("_prev", F.struct("path"))
     repeated = F.coalesce(F.col("_prev.path") == F.col("path"), F.lit(False))
-    # Same key as the window, so the aggregation needs no shuffle of its own.
-    walked = ordered_summary(
-        t.done(), ["uid"], ["timestamp", "id"], F.when(~repeated, F.col("path")), ARROW, "journey_to_conversion",
-        [F.min_by(F.struct("referrer", "source", "medium", "timestamp"), order).alias("ft")], t.hot)
+    walked = t.summary(
+        F.when(~repeated, F.col("path")), ARROW, "journey_to_conversion",
+        [F.min_by(F.struct("referrer", "source", "medium", "timestamp"), order).alias("ft")])
 
     sent = events.where(recent & (F.col("event_type") == "form_submit")
                         & forms.passes_noise_filter(F.col("event_data")))
@@ -106,8 +105,7 @@ def stitch_visits(visits: DataFrame, clients: DataFrame, hours: float = 24) -> D
                  F.lit(True).alias("inclusive"), F.lit(1).alias("sign")),
         F.struct(F.col("timestamp").alias("at"), F.lit(False).alias("inclusive"), F.lit(-1).alias("sign")),
     )).alias("_p")).select(*keys, "id", "_p.*")
-    counted = running_counts(
-        targets.withColumnRenamed("timestamp", "at"), probes, keys, may_have_hot_key(visits))
+    counted = running_counts(targets.withColumnRenamed("timestamp", "at"), probes, keys)
     times = counted.groupBy("unified_client_id", "id").agg(
         F.sum(F.col("n") * F.col("sign")).alias("times")).where(F.col("times") > 0)
     shown = visits.select(*_CARRIED)
@@ -127,7 +125,6 @@ def stitched_funnel(
     """Sign-up to completion with the history recovered by identity stitching."""
     order = F.struct("timestamp", "id")
     done = completers(visits, first_target, last_target)
-    hot = may_have_hot_key(visits)
     # Read more than once below, and costly to derive.
     related = work_table(stitch_visits(visits, done, hours))
     tags = ("utm_source", "utm_medium", "utm_campaign", "d", "tid")
@@ -139,11 +136,10 @@ def stitched_funnel(
     item = F.concat(F.col("path"), F.lit(" ("), F.col("page_domain"), F.lit(")"))
     shown = item.isNotNull() & (F.col("timestamp") <= F.col("completed_at"))
     # Equal rows stand next to each other, so a visit repeats its own text.
-    walked = ordered_summary(
-        facts, ["unified_client_id"], ["timestamp", "id"], F.when(shown, _repeated(item, ARROW)), ARROW,
-        "full_journey_path", [
+    walked = Timeline(facts, ["unified_client_id"], ["timestamp", "id"]).summary(
+        F.when(shown, _repeated(item, ARROW)), ARROW, "full_journey_path", [
             F.min_by(F.struct("referrer", "source", "medium", "timestamp"), order).alias("ft"),
-            F.sort_array(F.collect_set("_p1")).alias("_p1"), F.sort_array(F.collect_set("_p2")).alias("_p2")], hot)
+            F.sort_array(F.collect_set("_p1")).alias("_p1"), F.sort_array(F.collect_set("_p2")).alias("_p2")])
 
     sent = events.where(F.col("event_type").isin("form_submit", "custom", "click", "form_start")
                         & F.col("event_data").isNotNull() & F.col("visit_id").isNotNull()).select(
@@ -153,8 +149,8 @@ def stitched_funnel(
 
     def collected(target: str, name: str) -> DataFrame:
         rows = linked.where(F.col("epath").rlike(f"(?i)^.*{target}.*"))
-        out = ordered_join(rows, ["unified_client_id"], ["ets", "eid"],
-                           _repeated(F.col("event_data"), ", "), ", ", "_j", hot)
+        out = Timeline(rows, ["unified_client_id"], ["ets", "eid"]).texts(
+            _repeated(F.col("event_data"), ", "), ", ", "_j")
         return out.select("unified_client_id", F.concat(F.lit("["), F.col("_j"), F.lit("]")).alias(name))
 
     params = lambda c: F.when(F.size(c) > 0, F.array_join(c, " || "))

@@ -10,7 +10,7 @@ from webjourney.functions.predicates import (
     Moment, contains_all, has_prefix, in_range, moment, same_text,
 )
 from webjourney.functions.text import or_else, strip
-from webjourney.operators.ordered import Timeline, may_have_hot_key, ordered_summary
+from webjourney.operators.ordered import Timeline
 
 
 def _order() -> Column:
@@ -59,15 +59,13 @@ def _visit_side(visits: DataFrame, clients: DataFrame) -> DataFrame:
     v = visits.where(F.col("client_id").isNotNull()).join(clients, "client_id", "left_semi")
     rows = v.select("client_id", "timestamp", "id", "page_url", "source", "medium", "campaign", "referrer",
                     strip(F.coalesce("path", F.lit(""))).alias("p"))
-    t = Timeline(rows, ["client_id"], ["timestamp", "id"], may_have_hot_key(visits)).previous("_prev", F.struct("p"))
+    t = Timeline(rows, ["client_id"], ["timestamp", "id"]).previous("_prev", F.struct("p"))
     moved = F.col("_prev").isNull() | (F.col("_prev.p") != F.col("p"))
-    # Same key as the window, so the aggregation needs no shuffle of its own.
-    return ordered_summary(
-        t.done(), ["client_id"], ["timestamp", "id"], F.when(moved, or_else(F.col("p"), "(page)")), " → ",
-        "path_sequence", [
+    return t.summary(
+        F.when(moved, or_else(F.col("p"), "(page)")), " → ", "path_sequence", [
             F.count("*").alias("v_count"), F.min("timestamp").alias("v_first"), F.max("timestamp").alias("v_last"),
             F.min_by(F.struct("page_url", "source", "medium", "campaign", "referrer"), order).alias("first_visit"),
-            F.max_by("page_url", order).alias("last_visit_page")], t.hot)
+            F.max_by("page_url", order).alias("last_visit_page")])
 
 
 def client_summaries(
