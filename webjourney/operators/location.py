@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ipaddress
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webjourney.functions.forms import field
 from webjourney.functions.jsontext import quoted, set_fields
 from webjourney.functions.predicates import good_country, micros
-from webjourney.operators.ordered import Timeline, may_have_hot_key
+from webjourney.functions.text import let
+from webjourney.operators.ordered import Timeline, left_join_spread
 
 
 def _recent(name: str, seconds: float) -> Column:
@@ -31,7 +35,6 @@ def link_events_to_visits(
         "user_agent", F.lit("")))
     client = F.concat(F.lit("c:"), F.col("client_id"))
     has_client = F.coalesce(F.col("client_id") != "", F.lit(False))
-    hot = may_have_hot_key(events)
 
     e = events.select(
         "id", "visit_id", "timestamp", "ip_address", "page_url", F.lit(1).alias("rank"),
@@ -42,7 +45,7 @@ def link_events_to_visits(
 
     first = v.select("id", F.lit(None).cast("bigint").alias("visit_id"), "timestamp", "ip_address",
                      "page_url", "rank", F.lit(None).cast("string").alias("who")).unionByName(e)
-    t = Timeline(first, ["ip_address", "page_url"], ["timestamp", "rank", "id"], hot)
+    t = Timeline(first, ["ip_address", "page_url"], ["timestamp", "rank", "id"])
     t.last_known("_v", F.when(F.col("rank") == 0, hit))
     by_ip = t.done().where(F.col("rank") == 1).withColumn(
         "_ip", F.when(F.col("page_url").isNotNull() & F.col("ip_address").isNotNull(),
@@ -51,7 +54,7 @@ def link_events_to_visits(
     owners = v.select("id", "timestamp", "page_url", "rank", F.explode(F.array("f", "c")).alias("who")).where(
         F.col("who").isNotNull())
     t = Timeline(owners.unionByName(by_ip, allowMissingColumns=True), ["who", "page_url"],
-                 ["timestamp", "rank", "id"], hot)
+                 ["timestamp", "rank", "id"])
     t.last_known("_v", F.when(F.col("rank") == 0, hit))
     by_user = _recent("_v", same_user_seconds)["id"]
     out = t.done().where(F.col("rank") == 1).withColumn(
@@ -123,8 +126,11 @@ def resolve_event_location(events: DataFrame, visits: DataFrame, sessions: DataF
                       F.col("city").alias("v_city"))
     s = sessions.select(F.col("id").alias("session_id"), F.col("country").alias("s_country"),
                         F.col("city").alias("s_city"))
-    e = events.join(v, ["visit_id", "session_id"], "left").join(s, "session_id", "left").withColumn(
-        "_p", F.from_json("event_data", "country string, city string"))
+    # A visit counts only in the event's own session.
+    own = left_join_spread(events, v.withColumnRenamed("session_id", "_vs"), "visit_id")
+    same = F.col("_vs") == F.col("session_id")
+    e = own.withColumns({c: F.when(same, F.col(c)) for c in ("v_country", "v_city")}).drop("_vs").join(
+        s, "session_id", "left").withColumn("_p", F.from_json("event_data", "country string, city string"))
     p_country = F.nullif(F.col("_p.country"), F.lit(""))
     placeholder = p_country.eqNullSafe(F.lit("XX"))
     has_data = F.coalesce((F.col("event_data") != "") & (F.col("event_data") != "{}"), F.lit(False))
@@ -147,6 +153,62 @@ def resolve_event_location(events: DataFrame, visits: DataFrame, sessions: DataF
         F.coalesce("_r.source", F.lit("none")).alias("location_source"))
 
 
+def intake_places(
+    events: DataFrame, visits: DataFrame, sessions: DataFrame, ranges: DataFrame, hours: float = 24,
+) -> DataFrame:
+    """Where an event came from as it arrives: ``id, country, city, place_rule``.
+
+    The good place of its visit, else of its session, else the last good one that a session, else that a visit had from
+    its address within ``hours``, else that of the address in ``ranges`` (see ``locate_ips``). A placeholder is taken only
+    where there is nothing better: the session's, then the lookup's. An event without address has no lookup.
+    """
+    place = F.struct("country", "city")
+    v = visits.select(F.col("id").alias("visit_id"), place.alias("_v"))
+    s = sessions.select(F.col("id").alias("session_id"), place.alias("_s"))
+    named = left_join_spread(events.select("id", "timestamp", "visit_id", "session_id", "ip_address"), v, "visit_id").join(
+        s, "session_id", "left")
+    # What addresses were known for, in the order of time; an event sees what is there when it comes.
+    known = F.struct("timestamp", "country", "city")
+    of_visits = visits.where(good_country(F.col("country"))).select(
+        "ip_address", "timestamp", F.lit(0).alias("rank"), F.col("id").cast("string").alias("key"), known.alias("_kv"))
+    of_sessions = sessions.where(good_country(F.col("country"))).withColumn("timestamp", F.col("last_visit")).select(
+        "ip_address", "timestamp", F.lit(0).alias("rank"), F.concat(F.lit("s"), "id").alias("key"), known.alias("_ks"))
+    asking = named.select("ip_address", "timestamp", F.lit(1).alias("rank"), F.col("id").cast("string").alias("key"),
+                          "id", "_v", "_s")
+    t = Timeline(
+        asking.unionByName(of_visits, allowMissingColumns=True).unionByName(of_sessions, allowMissingColumns=True)
+        .where((F.col("rank") == 1) | F.col("ip_address").isNotNull()), ["ip_address"], ["timestamp", "rank", "key"])
+    t.last_known("_lv", F.col("_kv")).last_known("_ls", F.col("_ks"))
+    found = locate_ips(events.where(F.col("ip_address") != ""), ranges).select(
+        F.col("ip").alias("ip_address"), place.alias("_g"))
+    rows = left_join_spread(t.done().where("rank = 1"), found, "ip_address")
+    has_ip = F.coalesce(F.col("ip_address") != "", F.lit(False))
+    by_session, by_visit = (F.when(has_ip, _recent(c, hours * 3600)) for c in ("_ls", "_lv"))
+    named_session = F.coalesce(F.col("_s.country") != "", F.lit(False))
+
+    def choose(value) -> Column:
+        return (
+            F.when(good_country(F.col("_v.country")), value("_v", "visit"))
+            .when(good_country(F.col("_s.country")), value("_s", "session"))
+            .when(by_session.isNotNull(), value("_ls", "address_session"))
+            .when(by_visit.isNotNull(), value("_lv", "address_visit"))
+            .when(good_country(F.col("_g.country")), value("_g", "lookup"))
+            .when(has_ip & named_session, value("_s", "session_placeholder"))
+            .when(has_ip, value("_g", "lookup_placeholder")))
+
+    return rows.select("id", choose(lambda c, _: F.col(f"{c}.country")).alias("country"),
+                       choose(lambda c, _: F.col(f"{c}.city")).alias("city"),
+                       F.coalesce(choose(lambda _, rule: F.lit(rule)), F.lit("none")).alias("place_rule"))
+
+
+def with_places(events: DataFrame, places: DataFrame) -> DataFrame:
+    """Country and city put into the payload."""
+    text = lambda c: F.coalesce(quoted(F.col(c)), F.lit("null"))
+    rows = events.join(places.select("id", F.col("country").alias("_c"), F.col("city").alias("_t")), "id", "left")
+    return rows.withColumn("event_data", set_fields(
+        F.coalesce("event_data", F.lit("{}")), {"country": text("_c"), "city": text("_t")})).drop("_c", "_t")
+
+
 def session_timeline(visits: DataFrame, events: DataFrame, sessions: DataFrame,
                      session_id: str | None = None) -> DataFrame:
     """Visits and located events of every session, or of one in time order."""
@@ -215,7 +277,7 @@ def repair_events(events: DataFrame, visits: DataFrame, sessions: DataFrame) ->
     """
     v = visits.select(F.col("id").alias("visit_id"), F.col("country").alias("v_c"), F.col("city").alias("v_t"))
     s = sessions.select(F.col("id").alias("session_id"), F.col("country").alias("s_c"), F.col("city").alias("s_t"))
-    e = events.join(v, "visit_id", "left").join(s, "session_id", "left")
+    e = left_join_spread(events, v, "visit_id").join(s, "session_id", "left")
     p = F.get_json_object("event_data", "$.country")
     needs = F.col("event_data").isNotNull() & (p.isNull() | (p == "XX"))
     use_v, use_s = good_country(F.col("v_c")), good_country(F.col("s_c"))
@@ -251,44 +313,149 @@ def repair_totals(visits: DataFrame, events: DataFrame, sessions: DataFrame) ->
 
 # --- address lookups ------------------------------------------------------------------
 
+#: Networks registered as not global, and the parts of them that are.
+RESERVED = (
+    "0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24",
+    "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4",
+    "::/128", "::1/128", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16",
+    "fc00::/7", "fe80::/10")
+GLOBAL_PARTS = (
+    "192.0.0.9/32", "192.0.0.10/32", "2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48",
+    "2001:20::/28", "2001:30::/28")
+_MAPPED = "00000000000000000000ffff"
+
+
 def ipv4_number(ip: Column) -> Column:
     """Numeric IPv4 address, NULL for anything else."""
-    parts = F.split(ip, r"\.")
-    n = lambda i: F.get(parts, F.lit(i)).try_cast("bigint")
-    value = ((n(0) * 256 + n(1)) * 256 + n(2)) * 256 + n(3)
-    return F.when(ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), value)
+    def number(parts: Column) -> Column:
+        return F.when(F.forall(parts, lambda p: p <= 255), F.aggregate(parts, F.lit(0).cast("bigint"), lambda n, p: n * 256 + p))
+
+    digits = F.when(ip.rlike(r"^(0|[1-9]\d{0,2})(\.(0|[1-9]\d{0,2})){3}$"), F.split(ip, r"\."))
+    return let(F.transform(digits, lambda p: p.cast("bigint")), number)
+
+
+def _four(n: Column) -> Column:
+    return F.lpad(F.lower(F.hex(n)), 8, "0")
+
+
+def ip_key(ip: Column) -> Column:
+    """128 bits of an address as 32 hex digits, which sort like the numbers; IPv4 as its mapped IPv6 address.
+
+    NULL for what is no address. A zone (``%eth0``) does not count.
+    """
+    # Every step is bound once: written out, the expression would hold dozens of copies of the address.
+    def with_hex_tail(text: Column) -> Column:
+        return let(F.regexp_extract(text, r":(\d{1,3}(?:\.\d{1,3}){3})$", 1), lambda tail: F.when(tail == "", text).otherwise(
+            let(_four(ipv4_number(tail)), lambda four: F.concat(
+                F.substring(text, F.lit(1), F.length(text) - F.length(tail)), F.substring(four, 1, 4), F.lit(":"),
+                F.substring(four, 5, 4)))))
+
+    def groups(half: Column) -> Column:
+        return F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":"))
+
+    def filled(halves: Column) -> Column:
+        def joined(head: Column, rest: Column) -> Column:
+            missing = 8 - F.size(head) - F.size(rest)
+            return F.when(F.size(halves) == 1, head).when(
+                (F.size(halves) == 2) & (missing >= 1),
+                F.concat(head, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), rest))
+
+        return let(groups(halves[0]), lambda head: let(
+            groups(F.coalesce(F.get(halves, F.lit(1)), F.lit(""))), lambda rest: joined(head, rest)))
+
+    def v6_key(text: Column) -> Column:
+        return let(let(F.split(text, "::"), filled), lambda g: F.when(
+            text.contains(":") & (F.size(g) == 8) & F.forall(g, lambda x: x.rlike("^[0-9a-f]{1,4}$")),
+            F.array_join(F.transform(g, lambda x: F.lpad(x, 4, "0")), "")))
+
+    return let(ipv4_number(ip), lambda n: F.when(n.isNotNull(), F.concat(F.lit(_MAPPED), _four(n))).otherwise(
+        let(let(F.lower(F.regexp_replace(ip, "%.*$", "")), with_hex_tail), v6_key)))
+
+
+def network_keys(network: Column) -> Column:
+    """First and last key (struct of low and high) of a network: ``address/bits``, without bits one address."""
+    address = F.substring_index(network, "/", 1)
+    given = F.regexp_extract(network, r"/(\d+)$", 1).try_cast("int")
+    bits = F.coalesce(F.when(ipv4_number(address).isNotNull(), given + 96).otherwise(given), F.lit(128))
+
+    def bounds(key: Column, n: Column) -> Column:
+        whole, part = F.floor(n / 4).cast("int"), n % 4
+        digit = F.conv(F.substring(key, whole + 1, F.lit(1)), 16, 10).cast("int")
+        free = (F.pow(F.lit(2), 4 - part) - 1).cast("int")
+
+        def end(last: Column, fill: str) -> Column:
+            known = F.concat(F.substring(key, F.lit(1), whole), F.when(part > 0, F.lower(F.hex(last))).otherwise(F.lit("")))
+            return F.rpad(known, 32, fill)
+
+        return F.struct(end(digit.bitwiseAND(15 - free), "0").alias("low"), end(digit.bitwiseOR(free), "f").alias("high"))
+
+    return let(ip_key(address), lambda key: let(bits, lambda n: bounds(key, n)))
+
+
+def _network_bounds(network: str) -> tuple[str, str]:
+    found = ipaddress.ip_network(network)
+    base = 0xFFFF << 32 if found.version == 4 else 0
+    return f"{base + int(found[0]):032x}", f"{base + int(found[-1]):032x}"
 
 
 def is_private_ip(ip: Column) -> Column:
-    """Loopback, link-local and private addresses, and the other reserved IPv4 blocks."""
-    n = ipv4_number(ip)
-    base = lambda a, b=0, c=0, d=0: (a << 24) + (b << 16) + (c << 8) + d
-    v4 = (
-        n.between(base(10), base(10, 255, 255, 255)) | n.between(base(127), base(127, 255, 255, 255))
-        | n.between(base(172, 16), base(172, 31, 255, 255)) | n.between(base(192, 168), base(192, 168, 255, 255))
-        | n.between(base(169, 254), base(169, 254, 255, 255)) | n.between(base(0), base(0, 255, 255, 255))
-        | n.between(base(192, 0, 0), base(192, 0, 0, 255)) | n.between(base(192, 0, 2), base(192, 0, 2, 255))
-        | n.between(base(198, 18), base(198, 19, 255, 255)) | n.between(base(198, 51, 100), base(198, 51, 100, 255))
-        | n.between(base(203, 0, 113), base(203, 0, 113, 255)) | n.between(base(240), base(255, 255, 255, 255)))
-    low = F.lower(ip)
-    v6 = (low == "::1") | low.rlike("^(fc|fd)[0-9a-f]{2}:") | low.rlike("^fe[89ab][0-9a-f]:")
-    return F.coalesce(v4, F.lit(False)) | F.coalesce(v6, F.lit(False))
+    """Loopback, link-local and private addresses and the other reserved blocks; an IPv4 address inside an IPv6 one
+    counts as itself."""
+    def reserved(key: Column) -> Column:
+        inside = lambda networks: reduce(Column.__or__, [
+            key.between(*map(F.lit, _network_bounds(n))) for n in networks])
+        return F.coalesce(inside(RESERVED) & ~inside(GLOBAL_PARTS), F.lit(False))
+
+    return let(ip_key(ip), reserved)
+
+
+def _boundaries(ranges: DataFrame) -> DataFrame:
+    """Where a range begins (side 0, the wider first) and ends (side 2): ``at, side, wide, place``."""
+    if "network" in ranges.columns:
+        bounds = network_keys(F.col("network"))
+    else:
+        bounds = F.struct(*[F.concat(F.lit(_MAPPED), _four(F.col(c))).alias(n) for c, n in (("lo", "low"), ("hi", "high"))])
+    # Of two equal ranges the lowest place is taken.
+    keyed = ranges.select(bounds.alias("r"), F.struct("country", "city").alias("place")).where(
+        F.col("r.low").isNotNull() & F.col("r.high").isNotNull()).groupBy("r.low", "r.high").agg(
+        F.min("place").alias("place"))
+    inverse = F.translate("high", "0123456789abcdef", "fedcba9876543210")
+    return keyed.select(F.explode(F.array(
+        F.struct(F.col("low").alias("at"), F.lit(0).alias("side"), inverse.alias("wide"), "place"),
+        F.struct(F.col("high").alias("at"), F.lit(2).alias("side"), F.col("low").alias("wide"), "place"))).alias("b")
+    ).select("b.*", F.lit(0).alias("all"))
+
+
+def innermost(ranges: DataFrame) -> DataFrame:
+    """The place that holds from each boundary on: ``at, side, wide, place`` (a struct in a struct: NULL outside of all).
+
+    Ranges lie inside or beside each other, as networks do. A running count of open ranges gives the depth; after a
+    boundary the range holds that was last opened at this depth, so ranges need neither a stack nor to be cut up.
+    """
+    order = ["at", "side", "wide"]
+    t = Timeline(_boundaries(ranges), ["all"], order)
+    t.running_sum("depth", F.when(F.col("side") == 0, 1).otherwise(-1).cast("long"))
+    d = Timeline(t.done(), ["depth"], order)
+    d.last_known("opened", F.when(F.col("side") == 0, F.struct("place")))
+    return d.done().select(*order, F.struct(F.when(F.col("depth") > 0, F.col("opened.place")).alias("place")).alias(
+        "holds"))
 
 
 def locate_ips(df: DataFrame, ranges: DataFrame, ip: str = "ip_address") -> DataFrame:
-    """Distinct addresses with their place from an IPv4 range table (``lo, hi, country, city``).
+    """Distinct addresses (IPv4 and IPv6) with the place of the narrowest range they lie in.
 
-    Ranges are spread over the /16 blocks they touch, so the lookup is an equi join on the
-    block with a bounds check; private addresses get the placeholder.
+    ``ranges``: country, city, and either ``network`` or the IPv4 numbers ``lo`` and ``hi``. One pass over addresses and
+    boundaries in order, so neither wide nor nested ranges multiply rows. Private addresses get the placeholder; what is
+    no address has no place.
     """
     ips = df.select(F.col(ip).alias("ip")).where(F.col("ip").isNotNull()).distinct()
-    n = ips.withColumn("n", ipv4_number(F.col("ip"))).withColumn("block", F.shiftright("n", 16))
-    blocks = ranges.withColumn("block", F.explode(F.sequence(F.shiftright("lo", 16), F.shiftright("hi", 16))))
+    probes = ips.select(ip_key(F.col("ip")).alias("at"), F.lit(1).alias("side"), F.col("ip").alias("wide"), "ip")
+    found = innermost(ranges).unionByName(probes.where(F.col("at").isNotNull()), allowMissingColumns=True)
+    t = Timeline(found.withColumn("all", F.lit(0)), ["all"], ["at", "side", "wide"])
+    t.last_known("_h", F.col("holds"))
+    placed = t.done().where(F.col("side") == 1).select("ip", F.col("_h.place").alias("p")).unionByName(
+        probes.where(F.col("at").isNull()).select("ip", F.lit(None).cast("struct<country:string,city:string>").alias("p")))
     private = is_private_ip(F.col("ip"))
-    hit = n.join(blocks, "block", "inner").where(F.col("n").between(F.col("lo"), F.col("hi"))).select(
-        "ip", "country", "city")
-    # Overlapping ranges: the narrowest is not known here, so the lowest country wins.
-    one = hit.groupBy("ip").agg(F.min(F.struct("country", "city")).alias("p"))
-    return ips.join(one, "ip", "left").select(
+    return placed.select(
         "ip", F.when(private, "XX").otherwise(F.col("p.country")).alias("country"),
         F.when(private, "Unknown").otherwise(F.col("p.city")).alias("city"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from webjourney.functions.journeys import uid
 from webjourney.functions.predicates import Moment, days_before, in_range, moment
 from webjourney.functions.text import blank_to_null, or_else
+from webjourney.operators.ordered import left_join_spread
+
 
 def order() -> Column:
     """Total order of visits and of events."""
@@ -265,6 +267,34 @@ def hourly_rollup(visits: DataFrame) -> DataFrame:
         "a.*", "b.unique_ips", "b.unique_pages").withColumn("hour", F.col("hour").cast("bigint"))
 
 
+_CELL = ("date", "hour", "crawler_type", "country", "domain")
+
+
+def rollup_parts(visits: DataFrame) -> DataFrame:
+    """What hourly rollups can be merged from: sums per cell, session, address and path; ``timestamp`` is the hour."""
+    return visits.groupBy(
+        F.date_trunc("hour", "timestamp").alias("timestamp"), F.to_date("timestamp").alias("date"),
+        F.hour("timestamp").cast("bigint").alias("hour"), "crawler_type", "country",
+        F.col("page_domain").alias("domain"), "session_id", "ip_address", "path").agg(
+        F.count("*").alias("n"), F.sum("response_time_ms").alias("t"), F.count("response_time_ms").alias("tn"),
+        F.count(F.when(F.col("response_status") >= 400, 1)).alias("e"), F.sum("response_size").alias("b"))
+
+
+def rollup_of_parts(parts: DataFrame) -> DataFrame:
+    """``hourly_rollup`` of any number of ``rollup_parts``; distinct counts are exact, whatever the parts share."""
+    sums = ("n", "t", "tn", "e", "b")
+    per_session = parts.groupBy(*_CELL, "session_id").agg(*[F.sum(c).alias(c) for c in sums])
+    totals = per_session.groupBy(*_CELL).agg(
+        F.sum("n").alias("visit_count"), F.count("session_id").alias("unique_sessions"),
+        F.round(F.sum("t") / F.sum("tn"), 3).alias("avg_response_time"),
+        F.sum("e").alias("error_count"), F.sum("b").alias("bandwidth_bytes"),
+        F.round(F.lit(100.0) * F.count(F.when(F.col("n") == 1, 1)) / F.count("*"), 2).alias("bounce_rate"))
+    uniques = parts.groupBy(*_CELL).agg(
+        F.countDistinct("ip_address").alias("unique_ips"), F.countDistinct("path").alias("unique_pages"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in _CELL]
+    return totals.alias("a").join(uniques.alias("b"), same).select("a.*", "b.unique_ips", "b.unique_pages")
+
+
 def visitor_profile(visits: DataFrame, events: DataFrame) -> DataFrame:
     """Long-term profile per visitor over the sessions of its visits."""
     per_session = visits.withColumn("uid", uid()).groupBy("uid", "session_id").agg(
@@ -501,7 +531,7 @@ def event_details(events: DataFrame, visits: DataFrame) -> DataFrame:
     """Events with title, source and medium of their visit."""
     v = visits.select(F.col("id").alias("visit_id"), F.col("page_title").alias("visit_title"),
                       F.col("source").alias("visit_source"), F.col("medium").alias("visit_medium"))
-    return events.join(v, "visit_id", "left")
+    return left_join_spread(events, v, "visit_id")
 
 
 def timeline(visits: DataFrame, events: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from webjourney.functions.journeys import (
 )
 from webjourney.functions.predicates import Moment, seconds_between
 from webjourney.functions.text import blank_to_null
-from webjourney.operators.ordered import Timeline, keep_spaced, work_table
+from webjourney.operators.ordered import Timeline, keep_spaced, left_join_spread, work_table
 
 _ORDER = ["timestamp", "rank", "id"]
 
@@ -88,7 +88,7 @@ def remap_visits(visits: DataFrame, assigned: DataFrame) -> DataFrame:
 def follow_visit_session(events: DataFrame, visits: DataFrame) -> DataFrame:
     """Linked events take the session of their visit."""
     v = visits.select(F.col("id").alias("visit_id"), F.col("session_id").alias("_vs"))
-    return events.join(v, "visit_id", "left").withColumn(
+    return left_join_spread(events, v, "visit_id").withColumn(
         "session_id", F.coalesce("_vs", "session_id")).drop("_vs")
 
 
@@ -111,7 +111,8 @@ def rebuild(
     inactivity_seconds: int = 1800, start: Moment | None = None,
 ) -> dict[str, DataFrame]:
     """Whole session rebuild: new sessions, remapped visits and events, audit and removals."""
-    assigned = sessionize(rebuild_records(visits, events, start), families, inactivity_seconds)
+    # Five results rest on it.
+    assigned = work_table(sessionize(rebuild_records(visits, events, start), families, inactivity_seconds))
     fresh = rebuilt_sessions(assigned)
     v = remap_visits(visits, assigned)
     e = remap_events(events, assigned, v)
@@ -143,26 +144,26 @@ def assign_live(hits: DataFrame, families: Families, race_seconds: float = 30) -
     A hit opens a session when it is the first of its user or an external entry, unless the
     user opened one at most ``race_seconds`` ago; otherwise it continues the latest session.
     """
-    base = hits.withColumn("user_key", user_key()).withColumn("rank", F.lit(0))
-    t = Timeline(base, ["user_key"], ["timestamp", "id"])
-    t.previous("_prev", F.struct("id"))
-    entry = F.col("_prev").isNull() | live_boundary(
-        F.col("event_type"), F.col("referrer_domain"), F.col("source"), F.col("medium"),
-        F.col("campaign"), families)
-    rows = t.done().withColumn("_entry", entry)
-    if t.hot:
-        rows = work_table(rows)
-    opened = keep_spaced(
-        rows.where("_entry"), ["user_key"], "timestamp", "id", race_seconds, hot=t.hot)
+    entry = live_boundary(
+        F.col("event_type"), F.col("referrer_domain"), F.col("source"), F.col("medium"), F.col("campaign"), families)
+    assigned = assign_entries(hits.withColumn("user_key", user_key()).withColumn("entry", entry), race_seconds)
+    return assigned.withColumn("live_session_id", session_id(F.col("user_key"), F.col("journey_seq"))).drop(
+        "entry", "opened_at", "opened_id")
+
+
+def assign_entries(rows: DataFrame, race_seconds: float = 30) -> DataFrame:
+    """``journey_seq, is_new, opened_at, opened_id`` (the row that opened the session) of rows with ``user_key`` and
+    ``entry``."""
+    t = Timeline(rows, ["user_key"], ["timestamp", "id"]).previous("_prev", F.struct("id"))
+    t.df = t.df.withColumn("_opens", F.col("_prev").isNull() | F.col("entry"))
+    opened = keep_spaced(t.df.where("_opens"), ["user_key"], "timestamp", "id", race_seconds)
     opens = opened.where(F.col("kept_id") == F.col("id")).select("id", F.lit(True).alias("is_new"))
-    marked = rows.join(opens, "id", "left").withColumn("is_new", F.coalesce("is_new", F.lit(False)))
-    s = Timeline(marked, ["user_key"], ["timestamp", "id"], t.hot)
-    s.running_sum("journey_seq", F.col("is_new").cast("long"))
-    return (
-        s.done().withColumn("journey_seq", F.col("journey_seq") - 1)
-        .withColumn("live_session_id", session_id(F.col("user_key"), F.col("journey_seq")))
-        .drop("_prev", "_entry", "rank")
-    )
+    # Still in the slices of the first step.
+    t.df = t.df.join(opens, "id", "left").withColumn("is_new", F.coalesce("is_new", F.lit(False)))
+    t.running_sum("journey_seq", F.col("is_new").cast("long"))
+    t.last_known("_open", F.when(F.col("is_new"), F.struct("timestamp", "id")))
+    return t.done().withColumn("journey_seq", F.col("journey_seq") - 1).withColumn(
+        "opened_at", F.col("_open.timestamp")).withColumn("opened_id", F.col("_open.id")).drop("_prev", "_opens", "_open")
 
 
 def dedup_visits(visits: DataFrame, seconds: float = 30) -> DataFrame:
@@ -174,6 +175,12 @@ def dedup_visits(visits: DataFrame, seconds: float = 30) -> DataFrame:
     with_url = visits.where(F.col("page_url") != "")
     mapping = keep_spaced(with_url, ["session_id", "page_url"], "timestamp", "id", seconds).select(
         "id", "kept_id")
+    return fold_visits(visits, mapping)
+
+
+def fold_visits(visits: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Kept visits by a mapping of id to kept_id, with ``folded``, the number of others."""
+    with_url = visits.where(F.col("page_url") != "")
     order = F.struct("timestamp", "id")
     folded = with_url.join(mapping, "id").groupBy(F.col("kept_id").alias("id")).agg(
         F.min_by("tracking_id", F.when(F.col("tracking_id") != "", order)).alias("_tid"),
@@ -184,6 +191,44 @@ def dedup_visits(visits: DataFrame, seconds: float = 30) -> DataFrame:
     return kept.unionByName(bare)
 
 
+def folded_maps(visits: DataFrame, folds: DataFrame, first: tuple[str, ...], latest: tuple[str, ...]) -> DataFrame:
+    """Maps of the visits that fold into one, merged: per key the first value for the columns ``first``, the latest for
+    those of ``latest``. ``folds``: id, kept_id. Returns ``id`` of the kept visits that have any entry, and the maps."""
+    order = F.struct("timestamp", "id")
+    rows = visits.select("id", "timestamp", *first, *latest).join(folds, "id")
+    entries = rows.select("kept_id", "timestamp", "id", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("c"), F.col(c).alias("m")) for c in (*first, *latest)])).alias("e")).select(
+        "kept_id", "timestamp", "id", "e.c", F.explode("e.m").alias("key", "value"))
+    merged = entries.groupBy("kept_id", "c", "key").agg(
+        F.min_by("value", order).alias("a"), F.max_by("value", order).alias("z"))
+    value = F.when(F.col("c").isin(*latest), F.col("z")).otherwise(F.col("a"))
+
+    def whole(c: str) -> Column:
+        found = F.sort_array(F.collect_list(F.when(F.col("c") == c, F.struct("key", value.alias("value")))))
+        return F.when(F.size(found) > 0, F.map_from_entries(found)).alias(c)
+
+    return merged.groupBy(F.col("kept_id").alias("id")).agg(*[whole(c) for c in (*first, *latest)])
+
+
+def merge_visits(visits: DataFrame, seconds: float = 30) -> DataFrame:
+    """``dedup_visits`` with the maps ``request_headers`` (first value of each key) and ``custom_data`` (latest) of the
+    folded visits merged into the kept one."""
+    with_url = visits.where(F.col("page_url") != "")
+    folds = work_table(keep_spaced(with_url, ["session_id", "page_url"], "timestamp", "id", seconds).select("id", "kept_id"))
+    maps = folded_maps(with_url, folds, ("request_headers",), ("custom_data",))
+    kept = fold_visits(visits, folds)
+    own = lambda c: F.coalesce(f"_{c}", c).alias(c)
+    renamed = maps.withColumnsRenamed({c: f"_{c}" for c in ("request_headers", "custom_data")})
+    return kept.join(renamed, "id", "left").select(
+        *[own(c) if c in ("request_headers", "custom_data") else c for c in kept.columns])
+
+
+def session_counters(visits: DataFrame, kept: DataFrame) -> DataFrame:
+    """``session_id, last_visit, visit_count``: every hit moves the time, only kept ones count."""
+    counts = kept.groupBy("session_id").agg(F.count("*").alias("visit_count"))
+    return visits.groupBy("session_id").agg(F.max("timestamp").alias("last_visit")).join(counts, "session_id", "left")
+
+
 def debounce_submits(events: DataFrame, seconds: float = 1) -> DataFrame:
     """Form submits of a client and page no closer than ``seconds`` to the last one kept."""
     submits = events.where(F.col("event_type") == "form_submit")
@@ -199,12 +244,12 @@ def first_page_views(events: DataFrame) -> DataFrame:
     return views.join(firsts.select(F.col("k.id").alias("id")), "id", "left_semi")
 
 
-def engagement(events: DataFrame, idle_limit_ms: int = 30_000) -> DataFrame:
-    """Time on page and idle time per visit from heartbeat and navigate payloads."""
+def engagement(events: DataFrame, idle_limit_ms: int = 30_000, by: tuple[str, ...] = ()) -> DataFrame:
+    """Time on page and idle time per session and page (and ``by``) from heartbeat and navigate payloads."""
     on_page = F.get_json_object("event_data", "$.time_on_page_ms").try_cast("bigint")
     idle = F.get_json_object("event_data", "$.idle_time_ms").try_cast("bigint")
     beats = events.where(F.col("event_type").isin("heartbeat", "navigate"))
-    return beats.groupBy("session_id", "page_url").agg(
+    return beats.groupBy(*by, "session_id", "page_url").agg(
         F.count("*").alias("beats"), F.max(on_page).alias("time_on_page_ms"), F.max(idle).alias("max_idle_ms"),
         F.count(F.when(idle < idle_limit_ms, 1)).alias("engaged_beats"))
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from webjourney.operators import reports as r
+from webjourney.operators.paging import Listing
 from webjourney.plans.registry import query
 from webjourney.sources.weblog import AS_OF
 
@@ -183,14 +186,17 @@ def form_conversion(t):
     return r.form_conversion(t.events, AS_OF, days=31)
 
 
-@query("hourly_rollup", """
+HOURLY = """
 SELECT ts::DATE AS date, hour(ts) AS hour, crawler_type, country, domain,
   count(*) AS visit_count, count(DISTINCT session_id) AS unique_sessions, count(DISTINCT ip) AS unique_ips,
   count(DISTINCT path) AS unique_pages, round(avg(value), 3) AS avg_response_time,
   count(*) FILTER (WHERE kind = 'error') AS error_count, sum(id % 5000)::BIGINT AS bandwidth_bytes,
   round(100.0 * count(*) FILTER (WHERE n = 1) / count(DISTINCT session_id), 2)::DOUBLE AS bounce_rate
 FROM (SELECT *, count(*) OVER (PARTITION BY ts::DATE, hour(ts), crawler_type, country, domain, session_id) AS n
-      FROM visits) GROUP BY 1, 2, 3, 4, 5""")
+      FROM visits) GROUP BY 1, 2, 3, 4, 5"""
+
+
+@query("hourly_rollup", HOURLY)
 def hourly_rollup(t):
     return r.hourly_rollup(t.visits)
 
@@ -287,6 +293,15 @@ def session_list(t):
     return r.session_list(t.visits, t.sessions)
 
 
+@query("session_page", """
+SELECT id AS session_id, client_id, first_visit, last_visit, visit_count FROM sess
+ORDER BY last_visit DESC, id LIMIT 10 OFFSET 3""")
+def session_page(t):
+    listing = Listing(t.sessions.select(F.col("id").alias("session_id"), "client_id", "first_visit", "last_visit",
+                                        "visit_count"), [F.desc("last_visit"), "session_id"])
+    return listing.page(10, 3)
+
+
 @query("session_stats", """
 SELECT s.id AS session_id, count(v.id) AS total_visits, any_value(first_visit) AS first_visit,
   any_value(last_visit) AS last_visit, NULL::VARCHAR AS country, any_value(s.city) AS city,

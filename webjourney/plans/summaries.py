@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from webjourney.operators import paths as p
 from webjourney.operators import reports as r
 from webjourney.operators import summaries as s
+from webjourney.operators.ordered import work_dir, work_table
+from webjourney.operators.paging import Listing
+from webjourney.operators.summary_store import SummaryStore
 from webjourney.plans.registry import query
 from webjourney.sources.weblog import AS_OF
 
@@ -95,6 +100,16 @@ def journey_list(t):
     return s.list_journeys(s.journeys(_wide_rows(t)), "/demo, /pricing", captured_only=True)
 
 
+@query("journey_page", """
+SELECT client_id, visit_count, first_seen, last_seen, entry_page, email, path_sequence FROM w_j
+ORDER BY last_seen DESC, client_id LIMIT 5 OFFSET 3""", *_W)
+def journey_page(t):
+    listing = Listing(s.journeys(_wide_rows(t)).select(
+        "client_id", "visit_count", "first_seen", "last_seen", "entry_page", "email", "path_sequence"),
+        [F.desc("last_seen"), "client_id"])
+    return listing.page(5, 3)
+
+
 @query("lead_list", """
 SELECT client_id, captured_at, captured_page, captured_path, email, name, coalesce(source, 'direct') AS source,
   coalesce(medium, 'none') AS medium, coalesce(campaign, 'none') AS campaign, form_data_shared, captured_data
@@ -126,6 +141,17 @@ def reconcile_leads(t):
     return s.unreconciled(s.journeys(wide), s.leads(wide).where("email IS NOT NULL"))
 
 
+@query("reconcile_refresh", "SELECT client_id, email, name, captured_at, form_data_shared FROM w_l", *_W)
+def reconcile_refresh(t):
+    # Kept summaries of which the leads without an address got lost; the check finds and rebuilds them.
+    store = SummaryStore(t.spark, work_dir(t.spark), buckets=8)
+    store.refresh(t.visits, t.events, s.real_forms(t.events).select("client_id"))
+    wide = work_table(_wide_rows(t))
+    store.overwrite("leads", s.leads(wide).where("email IS NOT NULL"))
+    store.reconcile(t.visits, t.events)
+    return store.read("leads", s.leads(wide)).select("client_id", "email", "name", "captured_at", "form_data_shared")
+
+
 @query("changed_clients", f"SELECT DISTINCT client_id FROM real_forms WHERE ts > TIMESTAMP '{SINCE}'", "FORMS")
 def changed_clients(t):
     return s.changed_clients(t.events, SINCE)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webjourney.config import CLIENT_SIDE_FIELDS
+from webjourney.operators.ordered import work_dir
 
 AS_OF = "2024-01-31 00:00:00"
 FAMILIES = {"siteone": ("siteone.example",), "sitetwo": ("sitetwo.example",)}
@@ -92,6 +93,13 @@ def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(log(spark, sf_dir).schema).parquet(f"{sf_dir}/events*.parquet")
 
 
+def shuffled_stream(spark: SparkSession, sf_dir: str, batches: int = 3) -> DataFrame:
+    """The table as a stream of ``batches`` micro-batches whose rows come in no order of time."""
+    raw, path = log(spark, sf_dir), work_dir(spark)
+    raw.repartitionByRange(batches, F.xxhash64("event_id")).write.parquet(path)
+    return spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def hits(raw: DataFrame) -> DataFrame:
     """Every row of the events table with the columns shared by all views."""
     return (
@@ -208,3 +216,12 @@ def ip_locations(spark: SparkSession) -> DataFrame:
         [(base + 2, base + 19, "GB", "London"), (base + 20, base + 39, "DE", "Berlin"),
          (base + 40, base + 59, "FR", "Paris")],
         "lo long, hi long, country string, city string")
+
+
+def networks(spark: SparkSession) -> DataFrame:
+    """Range dimension by networks that lie inside each other, IPv4 and IPv6."""
+    return spark.createDataFrame(
+        [("81.2.69.0/24", "GB", "London"), ("81.2.69.16/28", "DE", "Berlin"), ("81.2.69.16/29", "IE", "Dublin"),
+         ("81.2.69.25/32", "AT", "Wien"), ("81.2.69.32/27", "FR", "Paris"), ("2a00::/16", "NO", "Oslo"),
+         ("2a00:1::/32", "SE", "Lund")],
+        "network string, country string, city string")

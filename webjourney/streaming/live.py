@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from webjourney.functions import agents, forms, url
 from webjourney.functions.jsontext import quoted, set_fields
 from webjourney.functions.journeys import Families, live_boundary, session_id, user_key
-from webjourney.operators import location, summaries
+from webjourney.operators import linking, location, summaries
 
 
 def run_available(stream: DataFrame, out: str, checkpoint: str, partition_by: Sequence[str] = ()) -> DataFrame:
@@ -166,6 +166,38 @@ def first_page_views(events: DataFrame, watermark: str = "10 minutes") -> DataFr
         .dropDuplicatesWithinWatermark(["session_id", "page_url"]))
 
 
+def link_or_create(rows: DataFrame, same_ip_seconds: float = 90, same_user_seconds: float = 600) -> DataFrame:
+    """Streaming twin of ``linking.link_or_create`` for events that name no visit: ``id, timestamp, linked_visit_id,
+    link_rule``, in the order of arrival.
+
+    ``rows`` are those of ``linking.rows_to_fold``. The state of a page is its visits of the last tolerance.
+    """
+    same_ip, same_user = int(same_ip_seconds * 1_000_000), int(same_user_seconds * 1_000_000)
+    names = ["us", "rank", "id", "page_url", "ip_address", "client", "device"]
+    df = rows.withColumn("us", F.unix_micros("timestamp")).select(*names, "timestamp")
+
+    def fold(key, batches, state) -> Iterator:
+        import pandas as pd
+
+        pdf = pd.concat(list(batches)).sort_values(["us", "rank", "id"])
+        now = linking.Fold(same_ip, same_user)
+        if state.exists:
+            now.restore(state.get[0])
+        out = []
+        for us, rank, rid, page, ip, client, device in zip(*[pdf[c].tolist() for c in names]):
+            if rank:
+                out.append((rid, us, *now.event(us, rid, page, ip, client, device)))
+            else:
+                now.visit(us, rid, page, ip, client, device)
+        state.update((now.saved(),))
+        yield pd.DataFrame(out, columns=["id", "us", "linked_visit_id", "link_rule"])
+
+    out = df.groupBy("page_url").applyInPandasWithState(
+        fold, "id long, us long, linked_visit_id long, link_rule string", "seen string", "append",
+        GroupStateTimeout.NoTimeout)
+    return out.select("id", F.timestamp_micros("us").alias("timestamp"), "linked_visit_id", "link_rule")
+
+
 # --- windowed counts ------------------------------------------------------------------
 
 def windowed_counts(rows: DataFrame, keys: Sequence[str], width: str = "1 hour", watermark: str = "10 minutes") -> DataFrame:
@@ -249,6 +281,30 @@ def locate_batch(visits: Callable[[], DataFrame], sessions: Callable[[], DataFra
     return handle
 
 
+def intake_batch(visits: Callable[[], DataFrame], sessions: Callable[[], DataFrame], ranges: DataFrame, out: str,
+                 hours: float = 24) -> Callable[[DataFrame, int], None]:
+    """Handler that enriches the raw hits of a batch and puts their place into the payload.
+
+    ``session_id`` must have been assigned. Stored visits and sessions are read for the hours before the batch only, apart
+    from those that its rows name.
+    """
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        span = batch.agg(F.min("received_at"), F.max("received_at")).first()
+        if span[0] is None:
+            return
+        since = F.lit(span[0]) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(hours * 3600.0))
+        names = batch.select("id", "session_id", "visit_id")
+        rows = enrich_intake(batch).join(names.select("id", "session_id"), "id")
+        v, s = visits(), sessions()
+        near_v = v.where((F.col("timestamp") >= since) & (F.col("timestamp") <= F.lit(span[1]))).unionByName(
+            v.where(F.col("timestamp") < since).join(
+                names.select(F.col("visit_id").alias("id")).distinct(), "id", "left_semi").select(v.columns))
+        places = location.intake_places(rows, near_v, s, ranges, hours)
+        location.with_places(rows, places).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return handle
+
+
 def latest_batch(root: str, n: int = 100) -> Callable[[DataFrame, int], None]:
     """Handler keeping the newest ``n`` events; version ``v<batch>`` is complete when written."""
     def handle(batch: DataFrame, batch_id: int) -> None:
