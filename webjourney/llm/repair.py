@@ -273,16 +273,20 @@ def _ways(rows: list[tuple]) -> pa.RecordBatch:
 def repaired_rows(rows: DataFrame, ways: DataFrame) -> DataFrame:
     """Final rows: conv, at, nth (rows put in stand before or after the one at their place), role, text."""
     bounded_batches(rows.sparkSession, 1000)
-    joined = rows.select("conv", "at", "role", "text", F.shiftright("at", BLOCK_BITS).alias("block")).join(
-        ways.select("conv", "block", "before", "initials"), ["conv", "block"])
+    # The way through a block comes before its rows: one shuffle, and no join whose skewed parts may be split up.
+    both = rows.select("conv", F.shiftright("at", BLOCK_BITS).alias("block"), "at", "role", "text").unionByName(
+        ways.select("conv", "block", F.lit(-1).cast("long").alias("at"), "before", "initials"), allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state, rest = None, 0, ""
         for batch in batches:
             out: list[tuple] = []
             for conv, block, at, role, text, before, initials in zip(*[c.to_pylist() for c in batch.columns]):
-                if (conv, block) != now:
+                if at < 0:
                     now, state, rest = (conv, block), before, initials
+                    continue
+                if (conv, block) != now:
+                    raise ValueError(f"rows of {conv!r} without a way through them")
                 nth, used, taken = 0, 0, False
                 for name in rest:
                     if name != "I" and taken:
@@ -310,7 +314,7 @@ def repaired_rows(rows: DataFrame, ways: DataFrame) -> DataFrame:
                                                  ["conv", "at", "nth", "role", "text"])
 
     return (
-        joined.select("conv", "block", "at", "role", "text", "before", "initials").repartition("conv", "block")
+        both.select("conv", "block", "at", "role", "text", "before", "initials").repartition("conv", "block")
         .sortWithinPartitions("conv", "block", "at")
         .mapInArrow(run, "conv string, at long, nth int, role string, text string"))
 
