@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from webjourney.config import Funnel, Step
 from webjourney.functions import forms
 from webjourney.functions.journeys import uid
-from webjourney.functions.predicates import Moment, has_prefix, in_range, seconds_between
+from webjourney.functions.predicates import Moment, has_prefix, in_range, micros, seconds_between
 from webjourney.functions.text import or_else
-from webjourney.operators.ordered import Timeline
+from webjourney.operators.ordered import Timeline, work_table
 
 
 def _step_rows(
@@ -103,13 +103,43 @@ def funnel_summary(
         pct(F.col("_first")).alias("share_of_first"))
 
 
+def _at_ranks(arrivals: DataFrame, wanted: dict, parts: int = 4096) -> dict:
+    """For each name (its first part is the step) the duration at a rank among those between two bounds.
+
+    Every pass cuts what is left of each range into ``parts`` and keeps the one with the rank, so the driver sees
+    ``parts`` counts a range at most.
+    """
+    done = {}
+    while wanted:
+        done |= {k: low for k, (low, high, _) in wanted.items() if low == high}
+        wanted = {k: v for k, v in wanted.items() if k not in done}
+        if not wanted:
+            break
+        ranges = sorted({(k[0], low, high) for k, (low, high, _) in wanted.items()})
+        widths = {r: (r[2] - r[1]) // parts + 1 for r in ranges}
+        place = F.array_compact(F.array(*[
+            F.when((F.col("step") == s) & F.col("us").between(low, high), F.struct(
+                F.lit(i).alias("i"), F.floor((F.col("us") - low) / widths[s, low, high]).alias("part")))
+            for i, (s, low, high) in enumerate(ranges)]))
+        counts = arrivals.select(F.explode(place).alias("p"), "us").groupBy("p.i", "p.part").agg(
+            F.count("*").alias("n"), F.min("us").alias("low"), F.max("us").alias("high")).collect()
+        for k, (low, high, rank) in wanted.items():
+            own = ranges.index((k[0], low, high))
+            for r in sorted((r for r in counts if r.i == own), key=lambda r: r.part):
+                if rank <= r.n:
+                    wanted[k] = (r.low, r.high, rank)
+                    break
+                rank -= r.n
+    return done
+
+
 def funnel_timing(
     visits: DataFrame, events: DataFrame, funnel: Funnel, start=None, end=None,
 ) -> DataFrame:
     """Seconds between adjacent steps of known clients: mean, median and 90th percentile over all arrivals.
 
-    Percentiles are nearest rank and exact. Arrivals are counted per distinct duration, so what is ranked is no
-    list of arrivals in a cell but a running count over durations.
+    Percentiles are nearest rank and exact. Durations are counted in coarse cells first; then only the cells that hold a
+    rank are counted in finer ones, until a cell is one duration. No arrivals are sorted and none meet in a task.
     """
     known = F.col("client_id").isNotNull()
     times = step_times(visits.where(known), events.where(known), [funnel], F.col("client_id"),
@@ -118,26 +148,30 @@ def funnel_timing(
     pairs = F.array(*[
         F.struct(F.lit(j + 1).cast("bigint").alias("step"), F.col(f"f0_s{j}").alias("a"),
                  F.col(f"f0_s{j + 1}").alias("b")) for j in range(last)])
-    arrivals = times.select(F.explode(pairs).alias("p")).where("p.b >= p.a").select(
-        "p.step", seconds_between(F.col("p.b"), F.col("p.a")).alias("seconds"))
-    per_value = arrivals.groupBy("step", "seconds").agg(F.count("*").alias("n"))
-    # One coarse cell is one window; what lies before a cell comes from the cells' own counts.
-    cell = F.floor(F.log2(F.col("seconds") + 1) * 64)
-    placed = per_value.withColumn("_cell", cell)
-    cells = placed.groupBy("step", "_cell").agg(F.sum("n").alias("_cn"))
-    upto = Window.partitionBy("step").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
-    based = cells.select("step", "_cell", (F.sum("_cn").over(upto) - F.col("_cn")).alias("_base"),
-                         F.sum("_cn").over(Window.partitionBy("step")).alias("_all"))
-    within = Window.partitionBy("step", "_cell").orderBy("seconds").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = placed.join(based, ["step", "_cell"]).withColumn("_upto", F.col("_base") + F.sum("n").over(within))
-
-    def at(p: float) -> Column:
-        rank = F.greatest(F.floor(F.col("_all") * F.lit(p)), F.lit(1))
-        return F.coalesce(F.round(F.min(F.when(F.col("_upto") >= rank, F.col("seconds"))), 2), F.lit(0.0))
-
-    found = ranked.groupBy("step").agg(
-        F.sum("n").alias("sample_size"), F.round(F.sum(F.col("seconds") * F.col("n")) / F.sum("n"), 2).alias("avg_seconds"),
-        at(0.5).alias("median_seconds"), at(0.9).alias("p90_seconds"))
+    arrivals = work_table(times.select(F.explode(pairs).alias("p")).where("p.b >= p.a").select(
+        "p.step", (micros(F.col("p.b")) - micros(F.col("p.a"))).alias("us")))
+    # 64 cells for each doubling, so some thousands a step at most.
+    counted = arrivals.groupBy("step", F.floor(F.log2(F.col("us") / 1e6 + 1) * 64).alias("cell")).agg(
+        F.count("*").alias("n"), F.sum(F.col("us").cast("decimal(38,0)")).alias("total"),
+        F.min("us").alias("low"), F.max("us").alias("high")).collect()
+    stats, wanted = {}, {}
+    for step in {r.step for r in counted}:
+        cells = sorted((r for r in counted if r.step == step), key=lambda r: r.cell)
+        n = sum(r.n for r in cells)
+        stats[step] = {"sample_size": n, "avg_seconds": float(sum(r.total for r in cells)) / 1e6 / n}
+        for name, share in (("median_seconds", 0.5), ("p90_seconds", 0.9)):
+            rank = max(math.floor(n * share), 1)
+            for r in cells:
+                if rank <= r.n:
+                    wanted[step, name] = (r.low, r.high, rank)
+                    break
+                rank -= r.n
+    for (step, name), us in _at_ranks(arrivals, wanted).items():
+        stats[step][name] = us / 1e6
+    found = times.sparkSession.createDataFrame(
+        [(s, v["sample_size"], *[v[c] for c in ("avg_seconds", "median_seconds", "p90_seconds")]) for s, v in stats.items()],
+        "step long, sample_size long, avg_seconds double, median_seconds double, p90_seconds double")
+    found = found.select("step", "sample_size", *[F.round(c, 2).alias(c) for c in found.columns[2:]])
     labels = times.sparkSession.createDataFrame(
         [(funnel.key, j + 1, funnel.steps[j].label, funnel.steps[j + 1].label) for j in range(last)],
         "funnel_key string, step long, from_step string, to_step string")
@@ -149,6 +183,22 @@ def funnel_timing(
 _TOUCHED = ("source", "medium", "campaign", "page_url", "referrer")
 
 
+def funnel_user_totals(visits: DataFrame, events: DataFrame, funnel: Funnel, start=None, end=None) -> DataFrame:
+    """Per step how many clients a listing of its users, and of those that stop there, has: ``step, stage_users,
+    dropoffs`` (NULL at the last step). All steps come from one aggregation."""
+    known = F.col("client_id").isNotNull()
+    times = step_times(visits.where(known), events.where(known), [funnel], F.col("client_id"), start, end, drop_noise=False)
+    at = [F.col(f"f0_s{j}").isNotNull() for j in range(len(funnel.steps))]
+    count = lambda c: F.count(F.when(c, 1))
+    rows = [F.struct(
+        F.lit(j).cast("bigint").alias("step"), F.col(f"_s{j}").alias("stage_users"),
+        (F.col(f"_d{j}") if j + 1 < len(at) else F.lit(None).cast("bigint")).alias("dropoffs")) for j in range(len(at))]
+    return times.agg(
+        *[count(reduce(Column.__and__, at[:j + 1])).alias(f"_s{j}") for j in range(len(at))],
+        *[count(at[j] & ~at[j + 1]).alias(f"_d{j}") for j in range(len(at) - 1)],
+    ).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def _touch_columns() -> list[Column]:
     """First and last visit (lowest / highest id on equal times)."""
     order = F.struct("timestamp", "id")

@@ -87,6 +87,14 @@ def funnel_dropoffs(t):
     return f.funnel_dropoffs(t.visits, t.events, DEMO, 1)
 
 
+@query("funnel_user_totals", """
+SELECT 0 AS step, (SELECT count(*) FROM a) AS stage_users, (SELECT count(*) FROM a WHERE k NOT IN (SELECT k FROM b)) AS dropoffs
+UNION ALL SELECT 1, (SELECT count(*) FROM a JOIN b USING (k)), (SELECT count(*) FROM b WHERE k NOT IN (SELECT k FROM c))
+UNION ALL SELECT 2, (SELECT count(*) FROM a JOIN b USING (k) JOIN c USING (k)), NULL""", *_STEPS)
+def funnel_user_totals(t):
+    return f.funnel_user_totals(t.visits, t.events, DEMO)
+
+
 @query("funnel_stage_users", """
 SELECT fv.client_id, c.t AS stage_reached_at, fv.ts AS first_seen, lv.ts AS last_seen, fv.page_url AS entry_page,
   lv.page_url AS exit_page, coalesce(fv.source, 'direct') AS source, coalesce(fv.medium, 'none') AS medium,

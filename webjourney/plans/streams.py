@@ -196,7 +196,7 @@ FROM ve WHERE event_type <> 'heartbeat' ORDER BY ts DESC, id DESC LIMIT 100""")
 def stream_latest_events(t):
     root = work_dir(t.spark)
     live.each_batch(_events(t), live.latest_batch(root), f"{root}/checkpoint").awaitTermination()
-    return live.newest_version(t.spark, root)
+    return live.newest_version(t.spark, root, live.live_stream(t.events).schema)
 
 
 @query("stream_geo_inherit", sessions.ORACLE_GEO)

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from webjourney.functions import agents, forms, url
 from webjourney.functions.jsontext import quoted, set_fields
@@ -317,12 +318,15 @@ def latest_batch(root: str, n: int = 100) -> Callable[[DataFrame, int], None]:
     return handle
 
 
-def newest_version(spark: SparkSession, root: str) -> DataFrame:
-    """The complete version ``v<batch>`` of the latest batch."""
+def newest_version(spark: SparkSession, root: str, schema: StructType | None = None) -> DataFrame:
+    """The complete version ``v<batch>`` of the latest batch; without any, an empty table of ``schema``."""
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(f"{root}/v*/_SUCCESS")
     done = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place)
-    return spark.read.parquet(f"{root}/v{max(int(f.getPath().getParent().getName()[1:]) for f in done)}")
+    versions = [int(f.getPath().getParent().getName()[1:]) for f in done]
+    if not versions and schema is not None:
+        return spark.createDataFrame([], schema)
+    return spark.read.parquet(f"{root}/v{max(versions)}")
 
 
 def summary_batch(
