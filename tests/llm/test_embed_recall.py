@@ -82,7 +82,7 @@ def test_keys_follow_the_size(n):
     lines = embed_dedup.key_lines(n)
     met = math.erf(embed_dedup.KEY_WINDOW / embed_dedup.FAR / math.sqrt(2)) ** lines
     assert 1 - (1 - met) ** embed_dedup.key_sets(lines) >= 1 - embed_dedup.UNMET
-    assert lines == embed_dedup.MOST_KEYS or n * math.erf(embed_dedup.CELL / 2 / math.sqrt(2)) ** lines <= embed_dedup.COMPANY
+    assert lines == embed_dedup.MOST_KEYS or n * embed_dedup.ALIKE ** lines <= embed_dedup.COMPANY
 
 
 def test_few_pairs_are_generated():

@@ -31,17 +31,18 @@ FAR = sqrt(2 - 2 * COSINE)
 #: Half windows of key lines and of counted lines, and the width of a cell.
 KEY_WINDOW, WINDOW, CELL = 2.5 * FAR, 2 * FAR, 7.5 * FAR
 #: Chance that a pair at the threshold meets in no set, and that one that meets is not counted often enough.
-UNMET, MISSES = 0.003, 1e-6
-COMPANY, MOST_KEYS, MOST_SETS = 50, 12, 4
+UNMET, MISSES = 0.004, 1e-6
+COMPANY, MOST_KEYS, MOST_SETS = 100, 12, 4
+#: Share of the other vectors that a cell of one line holds, on average over vectors.
+ALIKE = 2 * sum(((erf((i + 1) * CELL / sqrt(2)) - erf(i * CELL / sqrt(2))) / 2) ** 2 for i in range(8))
 #: Steps of the rounded projections.
 STEP = 1 / 26
 BLOCK = 1024
 
 
 def key_lines(n: int) -> int:
-    """Lines in a key for a label of ``n`` vectors: about ``COMPANY`` others share a cell by chance."""
-    alike = erf(CELL / 2 / sqrt(2))  # a cell in the middle, where they are fullest
-    return min(MOST_KEYS, max(1, ceil(log(max(n / COMPANY, 1)) / -log(alike))))
+    """Lines in a key for a label of ``n`` vectors: at most ``COMPANY`` others share a cell by chance on average."""
+    return min(MOST_KEYS, max(1, ceil(log(max(n / COMPANY, 1)) / -log(ALIKE))))
 
 
 def key_sets(lines: int) -> int:
