@@ -62,9 +62,10 @@ class Timeline:
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> None:
         self.keys, self.order = list(keys), list(order)
-        # Written once: all steps and summaries must see the same slices.
+        # Derived once, as the ranges are found in a pass of their own, and written in slices, as all steps and summaries
+        # must see the same ones.
         sliced = work_table(
-            df.repartitionByRange(*self.keys, *self.order).withColumn(_SLICE, F.spark_partition_id()))
+            work_table(df).repartitionByRange(*self.keys, *self.order).withColumn(_SLICE, F.spark_partition_id()))
         key = F.struct(*self.keys)
         ends = sliced.groupBy(_SLICE).agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
         # Fewer rows than slices, so the hint below is safe.

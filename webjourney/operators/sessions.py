@@ -146,24 +146,28 @@ def assign_live(hits: DataFrame, families: Families, race_seconds: float = 30) -
     """
     entry = live_boundary(
         F.col("event_type"), F.col("referrer_domain"), F.col("source"), F.col("medium"), F.col("campaign"), families)
-    assigned = assign_entries(hits.withColumn("user_key", user_key()).withColumn("entry", entry), race_seconds)
-    return assigned.withColumn("live_session_id", session_id(F.col("user_key"), F.col("journey_seq"))).drop(
-        "entry", "opened_at", "opened_id")
+    # The steps write their rows, so only what they need goes through them.
+    narrow = hits.select("id", "timestamp", user_key().alias("user_key"), entry.alias("entry"))
+    assigned = assign_entries(narrow, race_seconds).select("id", "user_key", "journey_seq", "is_new")
+    return hits.join(assigned, "id").withColumn(
+        "live_session_id", session_id(F.col("user_key"), F.col("journey_seq")))
 
 
-def assign_entries(rows: DataFrame, race_seconds: float = 30) -> DataFrame:
-    """``journey_seq, is_new, opened_at, opened_id`` (the row that opened the session) of rows with ``user_key`` and
-    ``entry``."""
+def assign_entries(rows: DataFrame, race_seconds: float = 30, opened: bool = False) -> DataFrame:
+    """``journey_seq, is_new`` of rows with ``user_key`` and ``entry``; with ``opened`` also ``opened_at, opened_id``, the
+    row that opened the session."""
     t = Timeline(rows, ["user_key"], ["timestamp", "id"]).previous("_prev", F.struct("id"))
     t.df = t.df.withColumn("_opens", F.col("_prev").isNull() | F.col("entry"))
-    opened = keep_spaced(t.df.where("_opens"), ["user_key"], "timestamp", "id", race_seconds)
-    opens = opened.where(F.col("kept_id") == F.col("id")).select("id", F.lit(True).alias("is_new"))
+    spaced = keep_spaced(t.df.where("_opens"), ["user_key"], "timestamp", "id", race_seconds)
+    # Written, as every step below would scan the rows again.
+    opens = work_table(spaced.where(F.col("kept_id") == F.col("id")).select("id", F.lit(True).alias("is_new")))
     # Still in the slices of the first step.
     t.df = t.df.join(opens, "id", "left").withColumn("is_new", F.coalesce("is_new", F.lit(False)))
     t.running_sum("journey_seq", F.col("is_new").cast("long"))
-    t.last_known("_open", F.when(F.col("is_new"), F.struct("timestamp", "id")))
-    return t.done().withColumn("journey_seq", F.col("journey_seq") - 1).withColumn(
-        "opened_at", F.col("_open.timestamp")).withColumn("opened_id", F.col("_open.id")).drop("_prev", "_opens", "_open")
+    if opened:
+        t.last_known("_open", F.when(F.col("is_new"), F.struct("timestamp", "id")))
+        t.df = t.df.withColumn("opened_at", F.col("_open.timestamp")).withColumn("opened_id", F.col("_open.id"))
+    return t.done().withColumn("journey_seq", F.col("journey_seq") - 1).drop("_prev", "_opens", "_open")
 
 
 def dedup_visits(visits: DataFrame, seconds: float = 30) -> DataFrame:

@@ -198,7 +198,7 @@ def live_sessions_batch(root: str, families: Families, race_seconds: float = 30)
             F.col("opened_id").alias("id"), F.col("opened_at").alias("timestamp"), "user_key",
             F.lit(True).alias("entry"), F.col("journey_seq").alias("_base")))
         rows = fresh.unionByName(redo).unionByName(seeds.drop("_base"))
-        assigned = sessions.assign_entries(rows, race_seconds).join(
+        assigned = sessions.assign_entries(rows, race_seconds, opened=True).join(
             seeds.select("user_key", "_base", F.col("id").alias("_seed")), "user_key", "left").where(
             F.col("_seed").isNull() | (F.col("id") != F.col("_seed"))).withColumn(
             "journey_seq", F.col("journey_seq") + F.coalesce("_base", F.lit(0)))
