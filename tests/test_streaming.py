@@ -76,7 +76,8 @@ def test_latest_and_summaries(source, tmp_path):
 
 def test_queries_read_the_newest_version(source, tmp_path, monkeypatch):
     raw, stream = source
-    monkeypatch.setattr(streams.weblog, "log_stream", lambda spark, folder: stream)
+    for name in ("log_stream", "shuffled_stream"):
+        monkeypatch.setattr(streams.weblog, name, lambda spark, folder: stream)
     spark, events, visits = raw.sparkSession, weblog.visit_events(raw), weblog.visits(raw)
     t = SimpleNamespace(spark=spark, dir="", visits=visits, events=events)
     want = events.where("event_type <> 'heartbeat'").orderBy(F.desc("timestamp"), F.desc("id")).limit(100)
