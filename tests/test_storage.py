@@ -41,6 +41,7 @@ def test_csv_export(spark, log, tmp_path):
     assert len(out.columns) == 27
     assert len(io.export_events(weblog.visit_events(log), weblog.sessions(log)).columns) == 26
     io.write_csv(out, str(tmp_path / "v"))
+    assert not io.read_csv(spark, str(tmp_path / "v"), out.schema).exceptAll(out).count()
     rows = []
     for f in glob.glob(str(tmp_path / "v" / "*.csv")):
         with open(f, newline="") as fh:

@@ -64,9 +64,9 @@ def is_sensitive_field(name: Column, field_type: Column | None = None) -> Column
 
 
 def mask_value(
-    value: Column, name: Column, field_type: Column | None = None, max_len: int | None = 1000
+    value: Column, name: Column, field_type: Column | None = None, max_len: int | None = None
 ) -> Column:
-    """Value safe to keep from a form field: NULL when masked or rejected, else cleaned and cut."""
+    """Value safe to keep from a form field: NULL when masked or rejected, else cleaned; cut where ``max_len`` is given."""
     def safe(trimmed: Column) -> Column:
         blob = (F.length(trimmed) > 100) & trimmed.rlike(r"^[A-Za-z0-9+/=]{100,}$")
         token = trimmed.startswith("eyJ") & (F.size(F.split(trimmed, r"\.")) == 3)

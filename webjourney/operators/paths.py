@@ -141,22 +141,20 @@ def stitched_funnel(
             F.min_by(F.struct("referrer", "source", "medium", "timestamp"), order).alias("ft"),
             F.sort_array(F.collect_set("_p1")).alias("_p1"), F.sort_array(F.collect_set("_p2")).alias("_p2")])
 
+    # An event belongs to the pages its path names, to both if it names both.
+    near = lambda target, name: F.when(F.col("path").rlike(f"(?i)^.*{target}.*"), F.lit(name))
     sent = events.where(F.col("event_type").isin("form_submit", "custom", "click", "form_start")
                         & F.col("event_data").isNotNull() & F.col("visit_id").isNotNull()).select(
-        F.col("visit_id").alias("_vid"), F.col("id").alias("eid"), F.col("timestamp").alias("ets"),
-        F.col("path").alias("epath"), "event_data")
+        F.col("visit_id").alias("_vid"), F.col("id").alias("eid"), F.col("timestamp").alias("ets"), "event_data",
+        F.explode(F.array_compact(F.array(near(first_target, "_f1"), near(last_target, "_f2")))).alias("_at"))
     linked = sent.join(related.select("unified_client_id", "times", F.col("id").alias("_vid")), "_vid")
-
-    def collected(target: str, name: str) -> DataFrame:
-        rows = linked.where(F.col("epath").rlike(f"(?i)^.*{target}.*"))
-        out = Timeline(rows, ["unified_client_id"], ["ets", "eid"]).texts(
-            _repeated(F.col("event_data"), ", "), ", ", "_j")
-        return out.select("unified_client_id", F.concat(F.lit("["), F.col("_j"), F.lit("]")).alias(name))
+    texts = Timeline(linked, ["unified_client_id", "_at"], ["ets", "eid"]).texts(
+        _repeated(F.col("event_data"), ", "), ", ", "_j")
+    collected = texts.groupBy("unified_client_id").agg(*[
+        F.max(F.when(F.col("_at") == c, F.concat(F.lit("["), F.col("_j"), F.lit("]")))).alias(c) for c in ("_f1", "_f2")])
 
     params = lambda c: F.when(F.size(c) > 0, F.array_join(c, " || "))
-    out = base.join(walked, "unified_client_id", "left").join(
-        collected(first_target, "_f1"), "unified_client_id", "left").join(
-        collected(last_target, "_f2"), "unified_client_id", "left")
+    out = base.join(walked, "unified_client_id", "left").join(collected, "unified_client_id", "left")
     return out.select(
         F.col("unified_client_id").alias("unique_user_key"), "full_journey_path",
         F.coalesce(params("_p1"), F.lit("No URL params")).alias("signup_page_params"),

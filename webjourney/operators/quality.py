@@ -64,7 +64,7 @@ def clean_form_totals(events: DataFrame) -> DataFrame:
         F.count(F.when(~F.col("changed"), 1)).alias("unchanged"), F.count("*").alias("total"))
 
 
-def mask_texts(df: DataFrame, value: str, name: str, max_len: int | None = 1000) -> DataFrame:
+def mask_texts(df: DataFrame, value: str, name: str, max_len: int | None = None) -> DataFrame:
     """Add the masked value and which rule applied."""
     v, n = F.col(value), F.col(name)
     return df.withColumn("masked_value", text.mask_value(v, n, max_len=max_len)).withColumn(
@@ -179,13 +179,14 @@ def sanitize(c: Column, max_length: int | None = None, allowed: str | None = Non
     return text.strip(out)
 
 
-def clean_params(page_url: str) -> Column:
+def clean_params(page_url: str, key_length: int | None = None, value_length: int | None = None) -> Column:
     """Sanitized first query parameters as ``array<struct<k,v>>``; empty keys and values drop out.
 
-    ``page_url`` is a column name or SQL text.
+    ``page_url`` is a column name or SQL text. Keys and values are whole unless lengths are given.
     """
     firsts = F.transform(F.map_entries(url.query_map(page_url)), lambda e: F.struct(
-        sanitize(e["key"], 50, "a-zA-Z0-9_-").alias("k"), sanitize(F.get(e["value"], F.lit(0)), 500).alias("v")))
+        sanitize(e["key"], key_length, "a-zA-Z0-9_-").alias("k"),
+        sanitize(F.get(e["value"], F.lit(0)), value_length).alias("v")))
     return F.filter(firsts, lambda e: (e["k"] != "") & (e["v"] != ""))
 
 

@@ -65,9 +65,8 @@ def conversion_rate(
 
 
 def top_user_agents(visits: DataFrame, k: int = 10, start=None, end=None) -> DataFrame:
-    top = _top(in_range(visits, start, end).groupBy("user_agent").agg(_n()), k,
-               F.desc("count"), F.asc_nulls_first("user_agent"))
-    return top.withColumn("user_agent", F.substring("user_agent", 1, 100))
+    return _top(in_range(visits, start, end).groupBy("user_agent").agg(_n()), k,
+                F.desc("count"), F.asc_nulls_first("user_agent"))
 
 
 def _top_labelled(visits: DataFrame, column: str, label: str, k: int, start, end) -> DataFrame:
@@ -390,8 +389,7 @@ def recent_visits(visits: DataFrame, as_of: Moment, hours: int = 24, crawler_typ
 
 def admin_recent(visits: DataFrame, limit: int = 50) -> DataFrame:
     return page(visits.select(
-        "id", "timestamp", "ip_address", F.substring("user_agent", 1, 100).alias("user_agent"),
-        "page_url", "crawler_type", "is_bot", "country", "city"),
+        "id", "timestamp", "ip_address", "user_agent", "page_url", "crawler_type", "is_bot", "country", "city"),
         [F.desc("timestamp"), F.desc("id")], limit)
 
 

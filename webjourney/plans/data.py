@@ -8,6 +8,7 @@ from webjourney.functions import agents, journeys, text, url
 from webjourney.operators import ips, quality
 from webjourney.operators import reports as r
 from webjourney.operators import summaries as s
+from webjourney.operators.ordered import work_dir
 from webjourney.plans.registry import query
 from webjourney.plans.sql_views import BROWSER_HITS, CONFIDENCE, CRAWLER_NAME
 from webjourney.plans.summaries import _W
@@ -257,19 +258,67 @@ def payload_flatten(t):
     return quality.flatten_events(t.events)
 
 
-@query("hit_quality", """
-SELECT id, CASE WHEN tracking_id = 'site b!' THEN 'tracking_id' WHEN data LIKE '{%' OR data IS NULL THEN NULL ELSE 'event_data' END AS reject_reason
-FROM ve""")
+# Hits with faults of every kind, as expressions that both SQL dialects read.
+_FAULTY = {
+    "page_url": "CASE id % 41 WHEN 1 THEN replace(page_url, 'https:', 'ftp:') WHEN 2 THEN 'https://-bad-.example/x' "
+                "WHEN 3 THEN 'http://one' WHEN 4 THEN page_url || '/' || repeat('x', 2000) ELSE page_url END",
+    "user_agent": "CASE id % 37 WHEN 1 THEN '' WHEN 2 THEN 'x <SCRIPT>' WHEN 3 THEN NULL WHEN 4 THEN repeat('a', 1001) "
+                  "ELSE {ua} END",
+    "ip_address": "CASE id % 31 WHEN 1 THEN '256.1.1.1' WHEN 2 THEN '2a00::1' WHEN 3 THEN '1::2::3' WHEN 4 THEN '1:2:3' "
+                  "WHEN 5 THEN '1:2:3:4:5:6:7:8' WHEN 6 THEN '10.0.0' ELSE {ip} END",
+    "page_domain": "CASE id % 29 WHEN 1 THEN 'no_dots.example' WHEN 2 THEN 'localhost:80' WHEN 3 THEN NULL "
+                   "WHEN 4 THEN 'a.b:8080' WHEN 5 THEN 'plain' ELSE {domain} END",
+    "event_data": "CASE id % 23 WHEN 1 THEN '{{\"__Proto__\":1}}' WHEN 2 THEN '{{\"a\":\"' || repeat('é', 5000) || '\"}}' "
+                  "WHEN 3 THEN '{{\"a\":\"' || repeat('x', 5000) || '\"}}' WHEN 4 THEN '[1]' WHEN 5 THEN 'no json' "
+                  "ELSE {data} END",
+}
+_FAULTY_SQL = ", ".join(
+    f"{e.format(ua='ua', ip='ip', domain='domain', data='data')} AS {c}" for c, e in _FAULTY.items())
+_LABELS = "len(list_filter(string_split({0}, '.'), lambda x: NOT regexp_full_match(x, '[a-zA-Z0-9]([a-zA-Z0-9-]{{0,61}}[a-zA-Z0-9])?'))) = 0"
+_DOMAIN = f"(bare = 'localhost' OR (contains(bare, '.') AND {_LABELS.format('bare')}))"
+
+
+@query("hit_quality", f"""
+SELECT id, CASE
+  WHEN NOT (length(page_url) <= 2000 AND regexp_matches(page_url, '^https?://') AND {_DOMAIN.replace('bare', 'host')}) THEN 'url'
+  WHEN tracking_id IS NOT NULL AND NOT regexp_full_match(tracking_id, '[a-zA-Z0-9_.-]{{1,100}}') THEN 'tracking_id'
+  WHEN coalesce(user_agent, '') = '' OR length(user_agent) > 1000
+    OR regexp_matches(lower(user_agent), '<script|javascript:|data:|vbscript:|onload=|onerror=|eval\\(|expression\\(') THEN 'user_agent'
+  WHEN NOT CASE WHEN contains(ip_address, ':') THEN len(list_filter(groups, lambda g: length(g) > 4 OR NOT regexp_full_match(g, '[0-9a-fA-F]*'))) = 0
+      AND CASE len(string_split(ip_address, '::')) WHEN 1 THEN len(groups) = 8
+        WHEN 2 THEN len(list_filter(groups, lambda g: g <> '')) <= 7 ELSE false END
+    ELSE len(octets) = 4 AND len(list_filter(octets, lambda o: coalesce(try_cast(o AS INT), 256) NOT BETWEEN 0 AND 255)) = 0 END THEN 'ip_address'
+  WHEN page_domain IS NULL OR NOT {_DOMAIN} THEN 'page_domain'
+  WHEN event_data IS NOT NULL AND NOT (json_valid(event_data) AND left(event_data, 1) = '{{' AND strlen(event_data) <= 10000
+    AND NOT list_has_any(list_transform(coalesce(CASE WHEN left(event_data, 1) = '{{' THEN json_keys(event_data) END, []), lambda k: lower(k)),
+      ['__proto__', 'constructor', 'prototype'])) THEN 'event_data' END AS reject_reason
+FROM (SELECT *, regexp_extract(page_url, '^[a-z]+://([^/?#]*)', 1) AS host, split_part(page_domain, ':', 1) AS bare,
+        string_split(ip_address, ':') AS groups, string_split(ip_address, '.') AS octets
+      FROM (SELECT id, tracking_id, {_FAULTY_SQL} FROM ve))""")
 def hit_quality(t):
-    return quality.check_hits(t.events).select("id", "reject_reason")
-
-
-@query("clean_params", """
-SELECT id, CASE id % 7 WHEN 3 THEN 'utm_source: google | utm_medium: cpc | utm_campaign: spring' WHEN 4 THEN 'ref: partner'
-  WHEN 5 THEN 'email: u' || u || '@corp.example | name: User ' || u ELSE '' END AS params FROM visits""")
+    spoilt = {c: F.expr(e.format(ua="user_agent", ip="ip_address", domain="page_domain", data="event_data"))
+              for c, e in _FAULTY.items()}
+    return quality.check_hits(t.events.withColumns(spoilt)).select("id", "reject_reason")
+
+
+_TAGGED_URL = """page_url || CASE WHEN contains(page_url, '?') THEN '&' ELSE '?' END || CASE id % 5
+  WHEN 0 THEN 'a%20key!=%20x%01y%20' WHEN 1 THEN '%21=1&empty=&utm_source=second&ref=other' WHEN 2 THEN 'long=' || repeat('v', 700)
+  WHEN 3 THEN repeat('k', 60) || '=1#part?x=2' ELSE 'plain+key=1+2' END"""
+
+
+@query("clean_params", f"""
+SELECT id, array_to_string(list_transform(list_filter(list_transform(
+    list_filter(range(1, len(ks) + 1), lambda i: list_position(ks, ks[i]) = i), lambda i: struct_pack(
+      k := regexp_replace(ks[i], '[^a-zA-Z0-9_-]', '', 'g'),
+      v := trim(regexp_replace(vs[i], '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g')))),
+  lambda e: e.k <> '' AND e.v <> ''), lambda e: e.k || ': ' || e.v), ' | ') AS params
+FROM (SELECT id, list_transform(ps, lambda p: url_decode(replace(split_part(p, '=', 1), '+', ' '))) AS ks,
+        list_transform(ps, lambda p: url_decode(replace(substr(p, strpos(p, '=') + 1), '+', ' '))) AS vs
+      FROM (SELECT id, list_filter(string_split(regexp_extract({_TAGGED_URL}, '\\?([^#]*)', 1), '&'),
+              lambda p: regexp_matches(p, '^[^=]*=.')) AS ps FROM visits))""")
 def clean_params(t):
     pairs = quality.clean_params("page_url")
-    return t.visits.select("id", F.array_join(
+    return t.visits.withColumn("page_url", F.expr(_TAGGED_URL)).select("id", F.array_join(
         F.transform(pairs, lambda e: F.concat(e["k"], F.lit(": "), e["v"])), " | ").alias("params"))
 
 
@@ -366,6 +415,42 @@ def partial_extract(t):
     return io.row_counts(io.partial_extract(tables, since=SINCE))
 
 
+@query("stored_days", """
+SELECT id, event_type, ts AS timestamp FROM ve WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-08'""")
+def stored_days(t):
+    path = work_dir(t.spark)
+    io.write_by_day(t.events.select("id", "event_type", "timestamp"), path)
+    return io.read_days(t.spark, path, start="2024-01-05", end="2024-01-07")
+
+
+@query("visits_csv", _VISITS_CSV)
+def visits_csv(t):
+    path, rows = work_dir(t.spark), io.export_visits(t.visits, t.sessions)
+    io.write_csv(rows, path)
+    return io.read_csv(t.spark, path, rows.schema)
+
+
+@query("reload_counts", """
+SELECT 'events' AS table_name, count(*) AS rows FROM ve UNION ALL SELECT 'sessions', count(*) FROM sess
+UNION ALL SELECT 'visits', count(*) FROM visits""")
+def reload_counts(t):
+    path, tables = work_dir(t.spark), {"visits": t.visits, "sessions": t.sessions, "events": t.events}
+    io.reload({n: df.where("id IS NULL") for n, df in tables.items()}, path)
+    return io.reload(tables, path)
+
+
+@query("purge_stored", """
+SELECT (SELECT count(*) FROM visits) AS deleted_visits, (SELECT count(*) FROM sess) AS deleted_sessions,
+  0::BIGINT AS visits_left, 0::BIGINT AS sessions_left, (SELECT count(*) FROM ve) AS events_left""")
+def purge_stored(t):
+    path = work_dir(t.spark)
+    io.reload({"visits": t.visits, "sessions": t.sessions, "events": t.events.select("id")}, path)
+    gone = io.purge(t.spark, f"{path}/visits", f"{path}/sessions")
+    left = [t.spark.read.parquet(f"{path}/{n}").agg(F.count("*")).scalar().alias(f"{n}_left")
+            for n in ("visits", "sessions", "events")]
+    return gone.select("*", *left)
+
+
 @query("merge_absent", f"""
 SELECT id, session_id, ts AS timestamp FROM visits WHERE ts >= TIMESTAMP '{SINCE}'""")
 def merge_absent(t):

@@ -29,7 +29,7 @@ def conversion_rate(t):
 
 
 @query("top_user_agents", """
-SELECT left(ua, 100) AS user_agent, count(*) AS count FROM visits GROUP BY ua
+SELECT ua AS user_agent, count(*) AS count FROM visits GROUP BY ua
 ORDER BY count(*) DESC, ua LIMIT 10""")
 def top_user_agents(t):
     return r.top_user_agents(t.visits)
@@ -247,7 +247,7 @@ def recent_visits(t):
 
 
 @query("admin_recent", """
-SELECT id, ts AS timestamp, ip AS ip_address, left(ua, 100) AS user_agent, page_url, crawler_type, is_bot, country, city
+SELECT id, ts AS timestamp, ip AS ip_address, ua AS user_agent, page_url, crawler_type, is_bot, country, city
 FROM visits ORDER BY ts DESC, id DESC LIMIT 50""")
 def admin_recent(t):
     return r.admin_recent(t.visits)
@@ -302,6 +302,12 @@ def session_page(t):
     return listing.page(10, 3)
 
 
+@query("visits_after", """
+SELECT id, session_id, ts AS timestamp, path FROM visits WHERE id > 500 ORDER BY id LIMIT 40""")
+def visits_after(t):
+    return r.after_id(t.visits.select("id", "session_id", "timestamp", "path"), 500, 40)
+
+
 @query("session_stats", """
 SELECT s.id AS session_id, count(v.id) AS total_visits, any_value(first_visit) AS first_visit,
   any_value(last_visit) AS last_visit, NULL::VARCHAR AS country, any_value(s.city) AS city,

@@ -12,7 +12,7 @@ from webjourney.plans import reports, sessions
 from webjourney.plans.registry import query
 from webjourney.plans.sessions import _LIVE, SPACING, _spaced
 from webjourney.plans.summaries import _W
-from webjourney.sources import weblog
+from webjourney.sources import io, weblog
 from webjourney.sources.weblog import FAMILIES
 from webjourney.streaming import corrected, live
 
@@ -82,6 +82,19 @@ def stream_live_feed(t):
     return _run(t, live.live_stream(_events(t)))
 
 
+@query("stream_day_append", """
+SELECT id, event_type, session_id, ts AS timestamp FROM ve WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-13'""")
+def stream_day_append(t):
+    root = work_dir(t.spark)
+    rows = weblog.visit_events(_shuffled(t)).select("id", "event_type", "session_id", "timestamp")
+    running = live.append_by_day(rows, f"{root}/out", f"{root}/checkpoint")
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return io.read_days(t.spark, f"{root}/out", start="2024-01-10", end="2024-01-12")
+
+
 @query("stream_event_visit_link", sessions.ORACLE_LINK)
 def stream_event_visit_link(t):
     root = _drain(t, _events(t), lambda r: live.link_batch(lambda: t.visits, r, 432_000, SPACING))

@@ -262,8 +262,9 @@ def stitched_visits(t):
 
 @query("stitched_funnel", """
 SELECT s.client_id AS unique_user_key, j.path AS full_journey_path, coalesce(p1.x, 'No URL params') AS signup_page_params,
-  'No form data' AS raw_signup_events, NULL::VARCHAR AS potentially_extracted_email,
-  coalesce(p2.x, 'No URL params') AS company_info_url_params, 'No form data' AS company_info_form_data,
+  coalesce(e1.x, 'No form data') AS raw_signup_events,
+  nullif(regexp_extract(e1.x, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}'), '') AS potentially_extracted_email,
+  coalesce(p2.x, 'No URL params') AS company_info_url_params, coalesce(e2.x, 'No form data') AS company_info_form_data,
   f.referrer AS original_referrer, f.source AS original_utm_source, f.medium AS original_utm_medium,
   f.ts AS user_acquired_at, s.started AS signup_visited_at, s.done AS company_info_completed_at,
   round((epoch_us(s.done) - epoch_us(f.ts)) / 1e6, 6) AS total_seconds,
@@ -277,7 +278,15 @@ LEFT JOIN (SELECT cid, string_agg(DISTINCT x, ' || ' ORDER BY x) AS x FROM (
     FROM rel WHERE path = '/sign-up') GROUP BY 1) p1 ON p1.cid = s.client_id
 LEFT JOIN (SELECT cid, string_agg(DISTINCT x, ' || ' ORDER BY x) AS x FROM (
     SELECT cid, CASE id % 7 WHEN 5 THEN 'email: u' || u || '@corp.example | name: User ' || u
-      WHEN 4 THEN 'ref: partner' END AS x FROM rel WHERE path = '/company-info') GROUP BY 1) p2 ON p2.cid = s.client_id""",
-       *_STITCH)
+      WHEN 4 THEN 'ref: partner' END AS x FROM rel WHERE path = '/company-info') GROUP BY 1) p2 ON p2.cid = s.client_id
+LEFT JOIN (SELECT cid, x FROM sent WHERE place = 'sign-up') e1 ON e1.cid = s.client_id
+LEFT JOIN (SELECT cid, x FROM sent WHERE place = 'company-info') e2 ON e2.cid = s.client_id""",
+       *_STITCH, """sent AS (
+  SELECT rel.cid, place, '[' || string_agg(e.data, ', ' ORDER BY e.ts, e.id) || ']' AS x
+  FROM rel JOIN ve e ON rel.id = coalesce(e.visit_id, e.id - 1) JOIN (VALUES ('sign-up'), ('company-info')) w(place)
+    ON contains(lower(e.path), '/' || place)
+  WHERE e.event_type IN ('form_submit', 'custom', 'click', 'form_start') AND e.data IS NOT NULL GROUP BY 1, 2)""")
 def stitched_funnel(t):
-    return p.stitched_funnel(t.visits, t.events)
+    # The log links page hits only: here other events belong to the hit numbered one lower, if there is one.
+    events = t.events.withColumn("visit_id", F.coalesce("visit_id", F.col("id") - 1))
+    return p.stitched_funnel(t.visits, events)

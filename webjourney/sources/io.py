@@ -128,6 +128,11 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What :func:`write_csv` wrote. Empty texts are quoted there and stay empty texts, cells with nothing are NULL."""
+    return spark.read.schema(schema).option("header", True).option("escape", '"').option("nullValue", "\0").csv(path)
+
+
 # --- extract, reload, merge, purge ----------------------------------------------------
 
 FULL_TABLES = ("funnel_configs",)
