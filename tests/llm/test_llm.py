@@ -197,7 +197,24 @@ def test_quality_odd_rows(spark, docs):
     assert (by[2].n_words, by[4].n_words, by[2].base_failed) == (0, 0, True)
     assert by[5].n_words == 8000 and by[5].base_failed
     assert set(quality.keep_good(docs).columns) == set(docs.columns)
-    assert quality.judge(docs.limit(0)).count() == 0
+    assert quality.judge(docs.limit(0)).count() == 0 == quality.keep_good(docs.limit(0)).count()
+
+
+def test_quality_cascade_keeps_what_the_judge_keeps(spark, docs):
+    whole = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").unionByName(docs, allowMissingColumns=True)
+    left = common.stored(quality.keep_good(whole))
+    kept = common.stored(quality.judge(whole)).where("kept").select("doc_id", "text")
+    assert left.select("doc_id", "text").exceptAll(kept).count() == 0 == kept.exceptAll(left.select("doc_id", "text")).count()
+
+
+def test_some_texts_are_bounded_and_whole_on_small_tables(spark):
+    many = spark.range(20_000).selectExpr("if(id % 3 = 0, null, id) as doc_id", "if(id % 3 = 0, 'same', 'text ' || id) as text")
+    got = common.some_texts(many, 300).collect()
+    assert 200 <= len(got) <= 300 and len({(r.doc_id, r.text) for r in got}) == len(got)
+    assert pick(common.some_texts(many, 300).collect(), "doc_id", "text") == pick(got, "doc_id", "text")
+    few = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (None, None), (None, "")], "doc_id long, text string")
+    assert pick(common.some_texts(few, 10).collect(), "doc_id", "text") == sorted([(1, "a"), (1, "b"), (None, "")], key=str)
+    assert common.some_texts(few.limit(0), 10).count() == 0
 
 
 def test_lines_odd_rows(spark, docs):

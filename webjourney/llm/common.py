@@ -76,6 +76,18 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
+def some_texts(docs: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` different (doc_id, text) of ``docs`` with a text, and their ``hash``: those hashed lowest.
+
+    Only rows whose hash lies under a bound are looked at further, about twice as many as asked for, so neither a
+    shuffle nor a task grows with the table. Copies count once.
+    """
+    share = min(1.0, 2 * most / max(1, docs.count()))
+    rows = docs.where("text is not null").select("doc_id", "text", F.xxhash64("doc_id", "text").alias("hash"))
+    rows = rows.where(F.col("hash") <= int(-(1 << 63) + share * ((1 << 64) - 1025)))
+    return rows.dropDuplicates(["hash", "doc_id"]).orderBy("hash", "doc_id").limit(most)
+
+
 def task_number() -> int:
     from pyspark import TaskContext
 

@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webjourney.llm.common import BLANKS, stored, text_key
+from webjourney.llm.common import BLANKS, some_texts, stored, text_key
 
 CORE = r"[A-Za-z0-9+/_=\-]{16,}"
 #: A name and its equals sign at the start of a run whose rest is long enough: ``token=...``.
@@ -101,10 +101,9 @@ def made_findings(docs: DataFrame, most_docs: int = 1000) -> DataFrame:
     addresses, identifiers, numbers, dates, checksums and placeholders.
     """
     words = F.filter(F.split(F.lower("text"), r"[^a-z]+"), lambda w: F.length(w) >= 4)
-    # Only four words and a digest of each text go into the sort.
-    rows = docs.where("text is not null").select(
-        "doc_id", F.slice(F.concat(words, F.array(*map(F.lit, ("some", "more", "words", "here")))), 1, 4).alias("w"),
-        F.sha2("text", 256).alias("h")).orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(most_docs)
+    rows = some_texts(docs, most_docs).select(
+        F.slice(F.concat(words, F.array(*map(F.lit, ("some", "more", "words", "here")))), 1, 4).alias("w"),
+        F.sha2("text", 256).alias("h"))
     rows = rows.select(*[F.get("w", F.lit(i)).alias(x) for i, x in enumerate("abcd")], "h",
                        F.base64(F.unhex("h")).alias("b64"))
     rows = rows.withColumn("alnum", F.regexp_replace("b64", r"[+/=]", "x")).withColumn(
