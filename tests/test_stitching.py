@@ -115,3 +115,10 @@ def rows_written(spark, query):
 def test_funnel_writes_no_pairs(spark):
     visits = crowd(spark)
     assert rows_written(spark, lambda: paths.stitched_funnel(visits, table(spark, schemas.visit_events(), []))) < 10_000
+
+
+def test_stitched_visits_write_no_pairs(spark):
+    visits = crowd(spark)
+    clients = visits.select("client_id").distinct()
+    assert paths.stitch_visits(visits, clients).count() > 78_000
+    assert rows_written(spark, lambda: paths.stitch_visits(visits, clients)) < 10_000

@@ -12,7 +12,7 @@ from webjourney.functions.journeys import uid
 from webjourney.functions.predicates import Moment, days_before, hits_target, micros, seconds_between
 from webjourney.functions.text import first_email
 from webjourney.operators import stitching
-from webjourney.operators.ordered import Timeline, running_counts, work_table
+from webjourney.operators.ordered import Timeline, work_table
 
 ARROW = " → "
 
@@ -102,38 +102,32 @@ def _matched_by_id(seen: DataFrame, ids: DataFrame, own: DataFrame, window: int)
         "unified_client_id", "id").agg(F.sum("times").alias("times"))
 
 
-def stitch_visits(visits: DataFrame, clients: DataFrame, hours: float = 24) -> DataFrame:
+def stitch_visits(
+    visits: DataFrame, clients: DataFrame, hours: float = 24, carried: Sequence[str] = _CARRIED,
+) -> DataFrame:
     """Visits of each client plus those of other clients with the same address and agent in the
-    ``hours`` up to one of the client's visits.
+    ``hours`` up to one of the client's visits, with the columns ``carried``.
 
-    A foreign visit counts once per matching visit of the client. Pairs are not built for
-    that: the number (``times``) is the difference of two running counts of the client's
-    visits, and only foreign visits near a visit of the client become candidates.
+    A foreign visit counts once per matching visit of the client (``times``); rows of one id count together. Visits
+    are matched in blocks with the clients of their fingerprint, so pairs are made once, by the task that returns them.
     """
     window = int(hours * 3_600_000_000)
-    keys = ["fp", "unified_client_id"]
-    near = F.floor(micros(F.col("timestamp")) / window)
-    # A digest of address and agent keeps the counted rows narrow; a missing part matches nothing.
-    narrow = visits.where(F.col("ip_address").isNotNull() & F.col("user_agent").isNotNull()).select(
-        "id", "client_id", "timestamp", F.md5(F.concat_ws("|", "ip_address", "user_agent")).alias("fp"))
-    targets = narrow.join(clients.select("client_id"), "client_id", "left_semi").select(
-        "fp", F.col("client_id").alias("unified_client_id"), "timestamp")
-    spots = targets.select(*keys, F.explode(F.array(near, near - 1)).alias("_near")).distinct()
-    candidates = narrow.withColumn("_near", near).join(spots, ["fp", "_near"]).where(
-        ~F.col("client_id").eqNullSafe(F.col("unified_client_id")))
-    # Counts up to the end of the window minus counts before its start.
-    probes = candidates.select(*keys, "id", F.explode(F.array(
-        F.struct(F.timestamp_micros(micros(F.col("timestamp")) + window).alias("at"),
-                 F.lit(True).alias("inclusive"), F.lit(1).alias("sign")),
-        F.struct(F.col("timestamp").alias("at"), F.lit(False).alias("inclusive"), F.lit(-1).alias("sign")),
-    )).alias("_p")).select(*keys, "id", "_p.*")
-    counted = running_counts(targets.withColumnRenamed("timestamp", "at"), probes, keys)
-    times = counted.groupBy("unified_client_id", "id").agg(
-        F.sum(F.col("n") * F.col("sign")).alias("times")).where(F.col("times") > 0)
-    shown = visits.select(*_CARRIED)
+    own_times = _client_visits(visits, clients)
     own = visits.join(clients.select("client_id"), "client_id", "left_semi").select(
-        F.col("client_id").alias("unified_client_id"), F.lit(1).cast("bigint").alias("times"), *_CARRIED)
-    return own.unionByName(times.join(shown, "id").select("unified_client_id", "times", *_CARRIED))
+        F.col("client_id").alias("unified_client_id"), F.lit(1).cast("bigint").alias("times"), *carried)
+    extra = [c for c in dict.fromkeys(("id", *carried))]
+    columns = visits.select(*[F.col(c).alias(f"_{c}") for c in extra], "ip_address", "user_agent", "client_id", "timestamp")
+    seen = stitching.fingerprinted(columns.where("_id is not null"), *[f"_{c}" for c in extra])
+    ids = _repeated_ids(visits)
+    if ids is not None:
+        counted = _matched_by_id(seen.withColumnRenamed("_id", "id"), ids, own_times, window)
+        own = own.unionByName(counted.join(visits.select(*extra), "id").select("unified_client_id", "times", *carried))
+        seen = seen.join(ids.withColumnRenamed("id", "_id"), "_id", "left_anti")
+    types = ", ".join(f"`_{c}` {visits.schema[c].dataType.simpleString()}" for c in carried)
+    payload = [f"_{c}" for c in carried]
+    foreign = stitching.Meeting(seen.select("fp", "owner", "us", *payload), own_times, window).related(
+        f"unified_client_id string, times long, {types}", payload)
+    return own.unionByName(foreign.withColumnsRenamed(dict(zip(payload, carried))))
 
 
 def stitched_funnel(

@@ -257,7 +257,7 @@ SELECT cid AS unified_client_id, id, count(*) AS times, any_value(ts) AS timesta
 FROM rel GROUP BY 1, 2""", *_STITCH)
 def stitched_visits(t):
     done = p.completers(t.visits, "/sign-up", "/company-info")
-    return p.stitch_visits(t.visits, done).select("unified_client_id", "id", "times", "timestamp", "path")
+    return p.stitch_visits(t.visits, done, carried=("id", "timestamp", "path"))
 
 
 @query("stitched_funnel", """
